@@ -55,23 +55,23 @@ def spark_arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return pa.schema([pa.field(*((p := field.split())[0], kinds[p[1]])) for field in ddl.split(", ")])
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the shared checkpoint folder that the cluster names.
-
-    Only a session that names none, as in tests, gets a folder of this program's own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or _own_checkpoint_dir())
-    return df.checkpoint(eager=True)
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; one of this program's own only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        import tempfile
 
+        named = f"file://{tempfile.mkdtemp(prefix='gatehouse-checkpoint-')}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
-def _own_checkpoint_dir() -> str:
-    import tempfile
 
-    return tempfile.mkdtemp(prefix="gatehouse-checkpoint-")
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with files in the shared checkpoint folder."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
 
 
 def text_or_empty(name: str = "text"):

@@ -8,8 +8,13 @@ from .bpe import encoding_digests
 from .chat_format import conversation_digests, format_conversations
 from .common import read_table
 from .fingerprint import fingerprint_documents
+from .html_extract import extract_pages
+from .ngram_join import Rule, jaccard_components
 from .packing import pack_documents
+from .pseudonyms import pseudonymize_documents
 from .secret_scan import scan_secrets
+from .topk import TOP_K_SQL, top_k
+from .toxicity import learn_lexicon, score_documents
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +29,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.sql(
@@ -32,9 +41,31 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_conversations(table.unionByName(probe)))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents"), Rule(width=3, percent=90))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return score_documents(documents, learn_lexicon(documents, read_table(spark, sf_dir, "labels")))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_fingerprints, op3_bpe, op5_chat, op9_packing)}
-ORACLES: dict[str, str] = {}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize_documents(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_fingerprints, op3_bpe, op4_html, op5_chat, op6_ngram_join, op7_toxicity, op8_topk, op9_packing, op10_pii,
+    )
+}
+ORACLES: dict[str, str] = {"op8_topk": TOP_K_SQL}
