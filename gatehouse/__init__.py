@@ -1,0 +1,12 @@
+"""Declarative row validation and sanitisation on Spark, and operators for training-data corpora (``gatehouse.llm``)."""
+
+from .api import fails, passes, sanitize, validate, validator
+from .functions.typesys import InvalidRule
+from .plans.engine import Validator
+from .plans.rulespec import compose_schemas, define_fragment, fragment, has_fragment, register_rule
+from .results import MessageBag, RecordResult, ValidatedFrame, ValidationException
+
+__all__ = [
+    "InvalidRule", "MessageBag", "RecordResult", "ValidatedFrame", "ValidationException", "Validator", "compose_schemas", "define_fragment", "fails", "fragment",
+    "has_fragment", "passes", "register_rule", "sanitize", "validate", "validator",
+]
