@@ -260,7 +260,7 @@ UNION ALL SELECT o_orderkey, 'o_totalprice', 'max', 'The O Totalprice must not e
 def flat_fast_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine cheap rules on each line item, fail-fast."""
     schema = {
-        "l_orderkey": "required|integer|min:1", "l_partkey": "required|integer", "l_suppkey": "required|integer", "l_quantity": "required|numeric|between:1,45",
+        "l_orderkey": "required|integer|min:0", "l_partkey": "required|integer", "l_suppkey": "required|integer", "l_quantity": "required|numeric|between:1,45",
         "l_extendedprice": "required|numeric|min:0", "l_discount": "required|numeric|max:0.09", "l_tax": "numeric|max:0.08", "l_returnflag": "required|in:A,N,R", "l_linestatus": "required|in:O,F",
     }
     out = Validator(schema).validate(_table(spark, sf_dir, "lineitem")).df

@@ -1,8 +1,8 @@
 """Exact n-gram Jaccard join and its connected components, filtered under several global token orders.
 
 If two sets reach the threshold, the beginnings (prefixes) of both share a token under every order of all
-tokens. Orders here put rare tokens first, by a count sketch over the whole corpus, and break ties by different hashes:
-the first order generates candidates and the others must agree before a pair is verified.
+tokens. Orders here put rare tokens first, by counts over the whole corpus, and break ties by different hashes: the
+first order generates candidates and the others must agree before a pair is verified.
 
 Equal sets are one node. Inside a large group of near copies pairs are never enumerated: rounds of chains
 (each member of a token's group with its neighbour in one common order) join most of it, components are contracted,
@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest, xxh128_digest
 
-from .common import durable
+from .common import durable, shuffle_partitions
 
 #: Multipliers that break ties in each global order; the first order generates, the others filter.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
@@ -32,6 +32,8 @@ SKETCH_BITS = (14, 24)
 SKETCH_BLOCK = 4096
 #: Rounds of chains before the rest is compared in full, and tokens in a packed block.
 CHAIN_ROUNDS, BLOCK_TOKENS = 4, 40_000
+#: Bits of the bitmaps, as powers of two; tokens that a task holds for them; ids that are broadcast at most (8 MB).
+MAP_BITS, PART_TOKENS, BROADCAST_IDS = (20, 28), 4_000_000, 1_000_000
 CACHE_WORDS = 1_000_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -78,64 +80,141 @@ class Rule:
         return (100 + self.percent) * common >= self.percent * (a + b)
 
 
+def _spread(tokens: np.ndarray) -> np.ndarray:
+    """Tokens mixed anew: the high bits choose the part and the place of a token in a bitmap."""
+    mixed = tokens * np.uint64(0xA0761D6478BD642F)
+    return (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xE7037ED1A0B428DB)
+
+
+@dataclass(frozen=True)
+class Bitmap:
+    """Which tokens several documents hold, by a bit each: it may say so wrongly, never the opposite."""
+
+    bits: int
+    parts: int
+    data: np.ndarray
+
+    def holds(self, tokens: np.ndarray) -> np.ndarray:
+        at = _spread(tokens) >> np.uint64(64 - self.bits)
+        return (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 @dataclass(frozen=True)
 class TokenOrders:
-    """Global orders of all tokens: by class of frequency, then by a hash of the order's own."""
+    """Global orders of all tokens: those that no other document is known to hold first, then by class of frequency,
+    then by a hash of the order's own. Any fixed function of the token gives an order; this one keeps groups small."""
 
     bits: int
     classes: np.ndarray
+    repeated: Bitmap
 
     def keys(self, tokens: np.ndarray, which: int) -> np.ndarray:
-        mixed = tokens * np.uint64(ORDERS[which])
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(ORDERS[which])
-        return (self.classes[tokens >> np.uint64(64 - self.bits)].astype(np.uint64) << np.uint64(58)) | (mixed >> np.uint64(6))
+        classes = self.classes[tokens >> np.uint64(64 - self.bits)].astype(np.uint64) << np.uint64(57)
+        return (self.repeated.holds(tokens).astype(np.uint64) << np.uint64(63)) | classes | (_order_hash(tokens, which) >> np.uint64(7))
 
     def prefix(self, tokens: np.ndarray, which: int, n: int) -> np.ndarray:
-        if n >= len(tokens):
-            return tokens
-        return tokens[np.argpartition(self.keys(tokens, which), n - 1)[:n]]
+        return _least(tokens, self.keys(tokens, which), n) if n < len(tokens) else tokens
+
+
+def _order_hash(tokens: np.ndarray, which: int) -> np.ndarray:
+    mixed = tokens * np.uint64(ORDERS[which])
+    mixed ^= mixed >> np.uint64(32)
+    return mixed * np.uint64(ORDERS[which])
+
+
+def _least(tokens: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    return tokens[np.argpartition(keys, n - 1)[:n]] if n < len(tokens) else tokens
+
+
+class _Parts:
+    """Tokens of a task by part, 32 bits each, to find those that several documents hold."""
+
+    def __init__(self, part_bits: int) -> None:
+        self.part_bits, self.held, self.size = part_bits, [], 0
+
+    def add(self, tokens: np.ndarray) -> None:
+        self.held.append(_spread(tokens) >> np.uint64(32 - self.part_bits))
+        self.size += len(tokens)
+
+    def packed(self) -> tuple[list[int], list[bytes]]:
+        rows = np.sort(np.concatenate(self.held)) if self.size else np.zeros(0, np.uint64)
+        self.held, self.size = [], 0
+        part = (rows >> np.uint64(32)).astype(np.int64)
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(rows)]]) if len(rows) else np.zeros(1, np.int64)
+        low = rows.astype(np.uint32)
+        return [int(part[i]) for i in edges[:-1]], [low[i:j].astype("<u4").tobytes() for i, j in zip(edges[:-1], edges[1:])]
+
 
+def _bitmap(parts: DataFrame, bits: int, part_bits: int) -> Bitmap:
+    """The bitmap of the tokens that occur twice in ``part, packed``: each part yields its slice, 32 MB in all at most."""
 
-def _summaries(documents: DataFrame, rule: Rule, bits: int) -> DataFrame:
-    """A row for each document (its set's size and digest) and, for each task, its counts of tokens by sketch block."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+    def repeated(table: pa.Table) -> pa.Table:
+        values = np.sort(np.concatenate([np.frombuffer(x.as_py(), dtype="<u4") for x in table.column("packed")]))
+        again = values[1:][values[1:] == values[:-1]] >> np.uint32(32 - (bits - part_bits))
+        flags = np.zeros(1 << (bits - part_bits), np.uint8)
+        flags[again] = 1
+        return pa.table({"part": table.column("part")[:1], "flags": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+    data = np.zeros(1 << (bits - 3), np.uint8)
+    size = 1 << (bits - part_bits - 3)
+    for row in parts.groupBy("part").applyInArrow(repeated, "part int, flags binary").collect():
+        data[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["flags"], dtype=np.uint8)
+    return Bitmap(bits, part_bits, data)
+
+
+def _summaries(documents: DataFrame, rule: Rule, bits: int, part_bits: int) -> DataFrame:
+    """A row for each document (its set's size and digest); for each task, its counts of tokens by sketch block and, by
+    part, the tokens that come first in each document by hash, twice as many as a prefix holds."""
+    schema = pa.schema([
+        ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("block", pa.int32()), ("part", pa.int32()), ("packed", pa.binary()),
+    ])
+
+    def extra(column: str, numbers: list[int], data: list[bytes]) -> pa.RecordBatch:
+        n = len(numbers)
+        cells = {"block": pa.nulls(n, pa.int32()), "part": pa.nulls(n, pa.int32())} | {column: pa.array(numbers, pa.int32())}
+        return pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 4, cells["block"], cells["part"], pa.array(data, pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int64)
+        counts, parts = np.zeros(1 << bits, np.int64), _Parts(part_bits)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for at in range(0, batch.num_rows, 512):
                 sets = [shingle_set(t, rule.width) for t in texts.slice(at, 512).to_pylist()]
-                if any(map(len, sets)):
-                    np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), 1)
+                np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), 1)
+                for s in sets:
+                    if len(s):
+                        parts.add(_least(s, _order_hash(s, 0), 2 * rule.prefix(len(s))))
+                if parts.size > PART_TOKENS:
+                    yield extra("part", *parts.packed())
                 digests = np.frombuffer(b"".join(xxh128_digest(s.tobytes()) for s in sets), dtype="<i8").reshape(-1, 2)
                 n = len(sets)
-                columns = [ids.slice(at, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                columns = [ids.slice(at, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1])]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(n, pa.int32())] * 2, pa.nulls(n, pa.binary())], schema=schema)
         blocks = counts.astype("<i8").reshape(-1, SKETCH_BLOCK)
         used = [k for k in range(len(blocks)) if blocks[k].any()]
         if used:
-            empty = [pa.nulls(len(used), pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([*empty, pa.array(used, pa.int32()), pa.array([blocks[k].tobytes() for k in used], pa.binary())], schema=schema)
+            yield extra("block", used, [blocks[k].tobytes() for k in used])
+        if parts.size:
+            yield extra("part", *parts.packed())
 
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, block int, counts binary")
+    return source.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, block int, part int, packed binary")
 
 
-def _orders(summaries: DataFrame, bits: int) -> TokenOrders:
-    """Frequency classes from the counts of all documents: a byte for each counter, 16 MB at most."""
+def _orders(summaries: DataFrame, bits: int, map_bits: int, part_bits: int) -> TokenOrders:
+    """Frequency classes from the counts of all documents, a byte for each counter, and the bitmap of repeated tokens."""
 
     def total(table: pa.Table) -> pa.Table:
-        summed = sum(np.frombuffer(x.as_py(), dtype="<i8") for x in table.column("counts"))
-        return pa.table({"block": table.column("block")[:1], "counts": pa.array([summed.tobytes()], pa.binary())})
+        summed = sum(np.frombuffer(x.as_py(), dtype="<i8") for x in table.column("packed"))
+        return pa.table({"block": table.column("block")[:1], "packed": pa.array([summed.tobytes()], pa.binary())})
 
-    blocks = summaries.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(total, "block int, counts binary")
+    blocks = summaries.where("block IS NOT NULL").select("block", "packed").groupBy("block").applyInArrow(total, "block int, packed binary")
     counts = np.zeros(1 << bits, np.int64)
     for row in blocks.collect():  # one row of 32 KB for each of the sketch's blocks
-        counts[row["block"] * SKETCH_BLOCK : (row["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(row["counts"], dtype="<i8")
+        counts[row["block"] * SKETCH_BLOCK : (row["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(row["packed"], dtype="<i8")
     ratio = counts / max(1.0, counts.mean())
-    return TokenOrders(bits, np.clip(np.floor(2 * np.log2(np.maximum(ratio, 1.0))), 0, 63).astype(np.uint8))
+    classes = np.clip(np.floor(2 * np.log2(np.maximum(ratio, 1.0))), 0, 63).astype(np.uint8)
+    return TokenOrders(bits, classes, _bitmap(summaries.where("part IS NOT NULL").select("part", "packed"), map_bits, part_bits))
 
 
 def _prefixes(documents: DataFrame, rule: Rule, shared) -> DataFrame:
@@ -153,6 +232,42 @@ def _prefixes(documents: DataFrame, rule: Rule, shared) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "rep long, size int, prefix array<long>")
 
 
+def _in_groups(prefixes: DataFrame, map_bits: int, part_bits: int) -> DataFrame:
+    """``token, rep, size``: the prefix tokens that more than one document may share; the others go before any shuffle."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = _Parts(part_bits)
+
+        def out() -> pa.RecordBatch:
+            numbers, data = parts.packed()
+            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(data, pa.binary())], names=["part", "packed"])
+
+        for batch in batches:
+            parts.add(batch.column("prefix").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            if parts.size > PART_TOKENS:
+                yield out()
+        if parts.size:
+            yield out()
+
+    repeated = prefixes.sparkSession.sparkContext.broadcast(_bitmap(prefixes.select("prefix").mapInArrow(pack, "part int, packed binary"), map_bits, part_bits))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("prefix")
+            tokens = lists.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy(zero_copy_only=False)))
+            rows = np.flatnonzero(repeated.value.holds(tokens.view(np.uint64)))
+            reps, sizes = (batch.column(c).to_numpy(zero_copy_only=False)[owner[rows]] for c in ("rep", "size"))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[rows]), pa.array(reps), pa.array(sizes)], names=["token", "rep", "size"])
+
+    return prefixes.select("rep", "size", "prefix").mapInArrow(keep, "token long, rep long, size int")
+
+
+def _only(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """Semi or anti join with distinct ids: a broadcast while these are few, by their count, else Spark's own choice."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+
+
 def _sets(documents: DataFrame, rule: Rule) -> DataFrame:
     """``rep, tokens``: whole sets, ascending, as little-endian bytes."""
 
@@ -296,20 +411,24 @@ def jaccard_components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     component. An empty table gives no rows; other columns are ignored.
     """
     spark = documents.sparkSession
-    bits = max(SKETCH_BITS[0], min(SKETCH_BITS[1], math.ceil(math.log2(documents.count() + 1))))
-    summaries = durable(_summaries(documents, rule, bits))
-    shared = spark.sparkContext.broadcast(_orders(summaries, bits))
-    rows = summaries.where("block IS NULL").select("doc_id", "n_shingles", "d1", "d2")
+    scale = math.ceil(math.log2(documents.count() + 1))
+    bits = max(SKETCH_BITS[0], min(SKETCH_BITS[1], scale))
+    map_bits = max(MAP_BITS[0], min(MAP_BITS[1], scale + 6))
+    part_bits = max(4, min(12, math.ceil(math.log2(shuffle_partitions(spark)))))
+    summaries = durable(_summaries(documents, rule, bits, part_bits))
+    shared = spark.sparkContext.broadcast(_orders(summaries, bits, map_bits, part_bits))
+    rows = summaries.where("block IS NULL AND part IS NULL").select("doc_id", "n_shingles", "d1", "d2")
     linkable = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = durable(linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    copies = linkable.join(classes.where("copies > 1").select("d1", "d2", "rep"), ["d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    classes = linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    copies = durable(linkable.join(classes, ["d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
 
-    reps = classes.select("rep").distinct()
-    postings = _prefixes(documents, rule, shared).join(reps, "rep", "left_semi").where("size > 0").select("rep", "size", F.explode("prefix").alias("token"))
+    others = copies.select(F.col("a").alias("rep")).distinct()
+    prefixes = durable(_only(_prefixes(documents, rule, shared).where("rep IS NOT NULL AND size > 0"), others, "rep", "left_anti"))
     by_size = W.partitionBy("token").orderBy("size", "rep")
-    chained = postings.distinct().select("token", "rep", "size", F.lag("rep").over(by_size).alias("before"), F.lead("rep").over(by_size).alias("after"))
+    postings = _in_groups(prefixes, map_bits, part_bits)
+    chained = postings.select("token", "rep", "size", F.lag("rep").over(by_size).alias("before"), F.lead("rep").over(by_size).alias("after"))
     in_groups = durable(chained.where("before IS NOT NULL OR after IS NOT NULL").select("token", "rep", "size", "before"))
-    sets = durable(_sets(documents.join(in_groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), rule).distinct())
+    sets = durable(_sets(_only(documents, in_groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), rule))
 
     links = None
     pairs = in_groups.where("before IS NOT NULL").select(F.least("before", "rep").alias("a"), F.greatest("before", "rep").alias("b"))
