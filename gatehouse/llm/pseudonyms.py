@@ -33,8 +33,8 @@ NUMBERS = re.compile(
     r"|(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?!\.\d)"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
     r"|(?P<iban>[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)"
-    r"|(?P<card>\d(?:[\x20-]?\d){12,18})"
-    r"|(?P<phone>\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d{2,4}(?:[\x20.-]?\d{2,4}){1,4}|\(\d{3}\)\x20?\d{3}[\x20.-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})"
+    r"|(?P<card>\d{13,19}|\d{4}(?P<gap>[\x20-])\d{4}(?P=gap)\d{4}(?P=gap)\d{4}|\d{4}[\x20-]\d{6}[\x20-]\d{5})"
+    r"|(?P<phone>\+\d{1,3}[\x20.-]?\(\d{3}\)[\x20.-]?\d{3}[\x20.-]\d{4}|\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d{2,4}(?:[\x20.-]?\d{2,4}){1,4}|\(\d{3}\)\x20?\d{3}[\x20.-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})"
     r")(?!\w)"
 )
 _DIGIT = re.compile(r"\d{2}")
@@ -217,12 +217,14 @@ class Pseudonymizer:
             at = text.find("@", max(at + 1, floor))
         if _DIGIT.search(text):
             taken = [(s, e) for s, e, _, _ in found]
-            for m in NUMBERS.finditer(text):
-                if any(s < m.end() and m.start() < e for s, e in taken):
-                    continue
-                new = getattr(self, m.lastgroup)(m[0])
+            m = NUMBERS.search(text)
+            while m:
+                kind = next(k for k in KINDS if k != "email" and m[k] is not None)
+                apart = not any(s < m.end() and m.start() < e for s, e in taken)
+                new = getattr(self, kind)(m[0]) if apart else None
                 if new is not None:
-                    found.append((m.start(), m.end(), m.lastgroup, new))
+                    found.append((m.start(), m.end(), kind, new))
+                m = NUMBERS.search(text, m.start() + 1 if new is None else m.end())  # what is not valid may hold what is
             found.sort()
         return found
 
