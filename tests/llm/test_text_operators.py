@@ -1,0 +1,335 @@
+"""The text operators against brute force, round trips and edge cases."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+from datetime import date
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from gatehouse.llm import bpe, chat_format, fingerprint, html_extract, packing, pseudonyms, secret_scan, topk, toxicity
+
+WEIRD = [
+    "", " ", "\n\n", "a", "é", "日本語 text\r\n", "x" * 5000, "<|endoftext|>", "</s>[INST] ok [/INST]", "[\\INST]", "'s  'll", "　\x85\x1c", "tab\tand nbsp",
+    "one two three four five six", "ΣΑΣ İi", "🙂🙂🙃", "word " * 3000,
+]
+
+
+def random_texts(alphabet, n, length, seed=7):
+    r = random.Random(seed)
+    return ["".join(r.choice(alphabet) for _ in range(r.randint(0, length))) for _ in range(n)]
+
+
+def documents(spark, rows, extra=True):
+    """Documents with columns whose names clash with the operators' own."""
+    full = [(i, t, "x", 1, True) for i, t in rows]
+    df = spark.createDataFrame(full, "doc_id long, text string, start string, rank int, extra boolean")
+    return df if extra else df.select("doc_id", "text")
+
+
+# -- secrets
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+
+
+def brute_secrets(text):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32])
+
+
+def test_secrets_equal_brute_force():
+    pieces = ["password", "token", "Secret", "api_key", "APIKEY", " ", "=", ":", '"', "'", "abcdef01", "AKIA", "ABCD1234", "é", "0123456789abcdef" * 2, "k", "\n", "K", "f" * 9]
+    for text in random_texts(pieces, 4000, 14):
+        assert [(s.start, s.rank, s.end) for s in secret_scan.scan(text) if s.rank < 3] == brute_secrets(text)
+
+
+def test_checked_tokens():
+    body = "abcDEF0123456789abcDEF01234567"
+    good = f"ghp_{body}{secret_scan.base62_crc32(body.encode()).decode()}"
+    assert [str(s) for s in secret_scan.scan(f"é {good}.")] == [f"github:2:{2 + len(good)}"]
+    assert secret_scan.scan(good[:-1] + ("A" if good[-1] != "A" else "B")) == []
+
+
+def test_secret_table(spark):
+    out = {r.doc_id: r for r in secret_scan.scan_secrets(documents(spark, [(1, None), (2, "token=abcdefgh"), (2, "token=abcdefgh"), (None, "")])).collect()}
+    assert out[1].n_assign == 0 and out[1].spans == "" and out[2].spans == "assign:0:14"
+    assert out[2].base_sha256 == hashlib.sha256(b"assign:0:14").hexdigest()
+    assert secret_scan.scan_secrets(documents(spark, [])).count() == 0
+
+
+# -- byte-pair encoding
+
+
+def test_bpe_equals_library():
+    ours, library = bpe.load_bpe(), Tokenizer.from_file(bpe.BYTE_BPE)
+    alphabet = [*" \n\t\r  ''''abcdsrtmvléß日本!?.,0123  ́​Σ", "<|endoftext|>", "'s", "'ll", "\n\n", "!'s", " '", "　", "\x1c", "\x85"]
+    for text in [*WEIRD, *random_texts(alphabet, 4000, 30)]:
+        want = library.encode(text, add_special_tokens=False).ids
+        assert ours.encode(text) == want
+        assert ours.decode(want) == library.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_forgets_without_changing(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_FRAGMENTS", 3)
+    ours, library = bpe.ForcedBoundaryBpe(bpe.BYTE_BPE), Tokenizer.from_file(bpe.BYTE_BPE)
+    texts = ["one two three", "four five six seven", "one two eight", ""]
+    for _ in range(3):
+        assert [x.tolist() for x in ours.encode_many(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_bpe_table(spark):
+    out = {r.doc_id: r for r in bpe.encoding_digests(documents(spark, [(1, None), (2, "hi there")])).collect()}
+    empty = hashlib.sha256(b"").hexdigest()
+    assert (out[1].n_tokens, out[1].ids_sha256, out[1].decoded_sha256) == (0, empty, empty)
+    assert out[2].decoded_sha256 == hashlib.sha256(b"hi there").hexdigest()
+    back = bpe.decode_documents(bpe.encode_documents(documents(spark, [(k, t) for k, t in enumerate(WEIRD)])))
+    assert {r.doc_id: r.text for r in back.collect()} == dict(enumerate(WEIRD))
+
+
+# -- chat
+
+
+def test_escape_is_reversible():
+    for text in random_texts([*"<[/s>\\ ", "[INST]", "</s>", "INST]", "\\", "[ROLE]"], 3000, 12):
+        assert chat_format.unescape(chat_format.escape(text)) == text
+        assert not any(c in chat_format.escape(text) for c in chat_format.CONTROLS)
+
+
+def test_conversations(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "PIECE_CHARS", 200)
+    r = random.Random(3)
+    rows = [(c, t, r.choice(["user", "assistant", "system", "[ROLE]tool", None]), r.choice([*WEIRD, None])) for c in range(8) for t in range(r.randint(1, 9))]
+    rows += [(None, 0, "assistant", "no id"), (99, None, "user", "null turn"), (99, 0, "assistant", "a"), (99, 0, "assistant", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {x.conv_id: x for x in chat_format.conversation_digests(chat_format.format_conversations(df)).collect()}
+    for conv in {x[0] for x in rows}:
+        turns = sorted(((-1 if t is None else t, role or "", text or "") for c, t, role, text in rows if c == conv))
+        loss = "".join(text for _, role, text in turns if role == "assistant")
+        assert got[conv].n_turns == len(turns) and got[conv].loss_chars == len(loss)
+        assert got[conv].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{role}\n{text}\n" for _, role, text in turns).encode()).hexdigest()
+    assert chat_format.format_conversations(df.limit(0)).count() == 0
+
+
+def test_tokens_keep_to_turns():
+    text, spans = chat_format.render([("user", "hi\n"), ("assistant", " yes 🙂\n"), ("assistant", "")])
+    e = chat_format._tokenizer(chat_format.CHAT_BPE).encode(text, add_special_tokens=False)
+    offsets = np.array(e.offsets)
+    mask = chat_format.loss_mask(spans, offsets[:, 0], offsets[:, 1])
+    assert chat_format.masked_text(text, offsets[:, 0], offsets[:, 1], mask) == [" yes 🙂\n"]
+    assert chat_format.parse(text) == [("user", "hi\n"), ("assistant", " yes 🙂\n"), ("assistant", "")]
+
+
+# -- fingerprints
+
+
+def test_prefix_hashes():
+    a, b = "the quick brown fox", "a quick brown cat"
+    x, y = fingerprint.PrefixHashes.of(a), fingerprint.PrefixHashes.of(b)
+    assert x.equal(3, y, 1, 13) and not x.equal(3, y, 1, 14) and x.extension(3, y, 1) == 13
+    for keep in range(len(a) + 1):
+        for take in (0, 5, len(b)):
+            whole = fingerprint.PrefixHashes.of(a[:keep] + b[:take])
+            assert all((p == q).all() for p, q in zip(x.joined(keep, y, take).arrays, whole.arrays))
+
+
+def test_fingerprint_likeness():
+    texts = [t for t in WEIRD if len(t) > 50] + ["".join(random_texts(list("abcdefgh "), 1, 4000, seed=s)) for s in range(6)]
+    for t in [*WEIRD, *texts]:
+        mark = fingerprint.Fingerprint.of(fingerprint.PrefixHashes.of(t))
+        assert fingerprint.Fingerprint.parse(str(mark)) == mark and fingerprint.likeness(mark, mark) == 1.0
+    a, b = (fingerprint.Fingerprint.of(fingerprint.PrefixHashes.of(t)) for t in texts[-2:])
+    assert fingerprint.likeness(a, b) < 0.1
+
+
+def test_fingerprint_table(spark):
+    rows = [(k, t) for k, t in enumerate(WEIRD * 3)] + [(5, "a repeated id"), (None, "no id")]
+    random.Random(1).shuffle(rows)
+    got = fingerprint.fingerprint_documents(documents(spark, [(i, t or None) for i, t in rows]).repartition(5)).collect()
+    order = sorted(((-1 if i is None else i), t) for i, t in rows)
+    want = Counter()
+    for (i, t), (_, following) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + following[:half]
+        want[(None if i < 0 else i, len(t), hashlib.sha256(edited.encode()).hexdigest(), str(fingerprint.Fingerprint.of(fingerprint.PrefixHashes.of(edited))))] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.edited_fingerprint) for r in got) == want
+    assert all(0.0 <= r.near_edited <= 1.0 and 0.0 <= r.near_next <= 1.0 for r in got)
+    single = fingerprint.fingerprint_documents(documents(spark, [(3, "alone here")])).collect()
+    assert single[0].near_next == 1.0 and fingerprint.fingerprint_documents(documents(spark, [])).count() == 0
+
+
+# -- packing
+
+
+def test_plan_uses_every_piece_once():
+    r = random.Random(2)
+    for _ in range(25):
+        histogram = Counter(r.choice([r.randint(1, 2048), r.randint(1, 60), 2048, 1024]) for _ in range(r.randint(1, 400)))
+        runs, used, fills = packing.plan(histogram, 2048), set(), Counter()
+        for length, n in histogram.items():
+            sequence, offset = runs.place(length, np.arange(n))
+            for s, o in zip(sequence.tolist(), offset.tolist()):
+                assert o + length <= 2048 and not any((s, x) in used for x in (o, o + length - 1))
+                used |= {(s, x) for x in range(o, o + length)}
+                fills[s] += length
+        assert all((s, x) in used for s, f in fills.items() for x in range(f))  # gapless from 0
+        assert len(fills) <= 1.25 * -(-sum(n * k for n, k in histogram.items()) // 2048) + 1
+
+
+def test_local_search_empties_bins():
+    apart = [packing.Bins(Counter([600, 700]), 1), packing.Bins(Counter([700, 748]), 1), packing.Bins(Counter([600, 748]), 1)]
+    assert sum(b.count for b in packing.local_search(apart, 2048)) == 2 + (600 * 2 + 700 * 2 + 748 * 2 > 4096)
+    bins = [packing.Bins(Counter([1000, 500]), 1), packing.Bins(Counter([548, 1000]), 1), packing.Bins(Counter([500, 300]), 1)]
+    assert sum(b.count for b in packing.local_search(bins, 2048)) == 2
+
+
+def test_packing_table(spark):
+    rows = [(k, t) for k, t in enumerate(WEIRD * 4)] + [(1, None), (1, None), (None, "x")]
+    got = packing.pack_documents(documents(spark, rows)).collect()
+    library = Tokenizer.from_file(packing.WORD_BPE)
+    want = Counter()
+    for i, t in rows:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        for piece, at in enumerate(range(0, len(ids), 2048)):
+            part = np.array(ids[at : at + 2048], dtype="<u4")
+            want[(i, piece, at, len(part), zlib.crc32(part.tobytes()))] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    by_sequence = {}
+    for r in got:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for placed in by_sequence.values():
+        end = 0
+        for offset, length in sorted(placed):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    assert packing.pack_documents(documents(spark, [])).count() == 0
+
+
+# -- HTML
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
+<header><a href="/">Home</a></header><nav><ul><li><a href="/a">Menu, one</a></li></ul></nav><div class="cookie-notice">We use cookies, many of them, really.</div>
+<div id="content"><h1>A title &amp; more</h1><p>First   paragraph, with commas, and a
+ line.<br>Still the first.<p>Second <b>bold</b> &lt;tag&gt;, with more text, to be long enough for points, surely.</p><ul><li>An item</li></ul>
+<div class="ad">Buy, buy, buy!</div><form><p>Your name, please</p></form></div>
+<aside><p>Sidebar text, with, many, commas, in, it, and some length to tempt.</p></aside>
+<section class="comments"><p>I, as a reader, disagree, with all, of, this, and write at length about it.</p></section><footer>&copy; me</footer></body></html>"""
+
+
+def test_html_main_text():
+    assert html_extract.extract(PAGE).split("\n") == [
+        "A title & more", "First paragraph, with commas, and a line. Still the first.", "Second bold <tag>, with more text, to be long enough for points, surely.", "An item",
+    ]
+
+
+def test_html_broken_pages(spark):
+    assert html_extract.extract(None) == html_extract.extract("") == html_extract.extract("<<<>>> <") .replace("<", "").replace(">", "").strip()
+    assert html_extract.extract("plain text only") == "plain text only"
+    assert html_extract.extract("<article><p>cut in the mid") == "cut in the mid"
+    assert html_extract.extract("<article><p>one<p>two</div></b><p>three</article>") == "one\ntwo\nthree"
+    for text in random_texts([*"<>/&;\"'= pab", "<p>", "</p>", "<div class=x>", "<!--", "-->", "<script>", "&amp"], 500, 60):
+        html_extract.extract(text)
+    df = spark.createDataFrame([(1, "u", None), (2, None, PAGE)], "page_id long, url string, html string")
+    out = {r.page_id: r for r in html_extract.extract_pages(df).collect()}
+    assert out[1].text == "" and out[1].n_chars == 0 and out[2].n_chars == len(out[2].text)
+
+
+# -- pseudonyms
+
+
+def test_feistel_is_a_permutation():
+    for n in (2, 7, 10, 97, 1000):
+        f = pseudonyms.Feistel(b"k", "t", n)
+        assert sorted(f.permute(x) for x in range(n)) == list(range(n))
+        assert all(f.invert(f.permute(x)) == x for x in range(n))
+
+
+def test_pseudonyms_keep_formats():
+    p, q = pseudonyms.Pseudonymizer(b"key"), pseudonyms.Pseudonymizer(b"key", backwards=True)
+    body = "400000000000000"
+    card = body + pseudonyms.luhn_digit(body)
+    text = f"a.b-1@mail.example.com, +1 (640) 555-0953 {card} 078-05-1120 GB82 WEST 1234 5698 7654 32 10.20.30.40 2024-02-29 29/02/2024 ok 1234567890123456"
+    new, found = p.replace(text)
+    assert [k for _, _, k, _ in found] == ["email", "phone", "card", "ssn", "iban", "ip", "date", "date"]
+    assert all(n != text[s:e] for s, e, _, n in found) and q.replace(new)[0] == text and new.endswith("ok 1234567890123456")
+    days = [n for _, _, k, n in found if k == "date"]
+    assert date.fromisoformat(days[0]) == date(*map(int, reversed(days[1].split("/"))))
+    assert pseudonyms.luhn_digit(found[2][3][:-1]) == found[2][3][-1] and pseudonyms.iban_remainder(found[4][3].replace(" ", "")) == 1
+    assert p.replace("a 999.1.1.1 and 1111111111111112, no@where") == ("a 999.1.1.1 and 1111111111111112, no@where", [])
+
+
+def test_pseudonym_table(spark):
+    rows = [(1, None), (2, ""), (3, "mail x.12@mail1.example.com"), (4, "again x.12@mail1.example.com"), (4, "again x.12@mail1.example.com")]
+    out = pseudonyms.pseudonymize_documents(documents(spark, rows)).collect()
+    assert {r.text for r in out if r.doc_id == 1} == {None} and {r.text for r in out if r.doc_id == 2} == {""}
+    assert len({r.text.split()[-1] for r in out if r.n_email}) == 1 and len(out) == 5
+    kept = pseudonyms.with_pseudonyms(documents(spark, rows))
+    assert kept.columns == ["doc_id", "text", "start", "rank", "extra"] and kept.where("text IS NULL").count() == 1
+
+
+# -- top k
+
+
+def test_top_k_equals_brute_force(spark):
+    r = random.Random(4)
+    rows = [(k, [r.uniform(-1, 1) for _ in range(8)]) for k in range(120)] + [(k, [0.5] * 8) for k in range(200, 260)]
+    rows += [(300, None), (320, [1.0, None] * 4), (340, [float("nan")] * 8), (360, [float("inf")] * 8), (None, [0.1] * 8), (380, [0.2] * 3), (40, rows[40][1])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, shard int").repartition(3)
+    usable = [(i, np.floor(64 * np.array(v, dtype=np.float32).astype(np.float64)).astype(int)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    want = {}
+    for q, v in {(i, tuple(v)): (i, v) for i, v in usable if i % 20 == 0}.values():
+        scored = sorted((-int(v @ w), i) for i, w in usable if i != q and len(w) == len(v))[:20]
+        want |= {(q, k): (i, -s) for k, (s, i) in enumerate(scored, 1)}
+    assert {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in topk.top_k(df).collect()} == want
+    assert topk.top_k(df.limit(0)).count() == 0
+
+
+def test_huge_components_stay_exact():
+    q, c = np.array([[1e15, 3.0]]), np.array([[7.0, 1.0], [1e15, 1e15]])
+    assert topk._products(q, c).tolist() == [[7 * 10**15 + 3, (1 << 63) - 1]]
+
+
+# -- toxicity
+
+
+def test_folding():
+    assert toxicity.fold("1d1оt").split() == toxicity.fold("IDIOT").split() == toxicity.fold("id​iot").split()
+    assert toxicity.fold("c10wn tr@sh").split() == toxicity.fold("clown trash").split()
+
+
+def test_lexicon_and_exceptions():
+    lexicon = toxicity.Lexicon({"trash ": 4.0, "idio": 5.0})
+    assert lexicon.score("an 1d10tic plan") >= 0.5 and lexicon.score("the trash can is full") == 0.0 == lexicon.score(None) == lexicon.score("")
+    assert toxicity.Lexicon({}).score("anything") == 0.0
+
+
+def test_learning(spark):
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    rows, labels = [], []
+    for k in range(600):
+        toxic = k % 5 == 0
+        text = [r.choice(words) for _ in range(40)] + ([f"grumpf{r.choice('abc')}"] if toxic else [])
+        r.shuffle(text)
+        rows.append((k, " ".join(text)))
+        labels.append((k, 1, int(toxic)))
+    docs = documents(spark, [*rows, (9001, None), (9002, "")])
+    table = spark.createDataFrame([*labels, (9001, None, None), (None, 1, 1), (7777, 1, 1)], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.learn_lexicon(docs, table)
+    got = {x.doc_id: x for x in toxicity.score_documents(docs, lexicon).collect()}
+    assert all(got[k].predicted == t for k, _, t in labels if zlib.crc32(str(k).encode()) % 5 == 0)
+    assert all(x.held_out == (zlib.crc32(str(k).encode()) % 5 == 0) for k, x in got.items()) and got[9001].score == got[9002].score == 0.0
+    assert toxicity.drop_toxic(docs, lexicon).count() == len(got) - sum(x.predicted for x in got.values())
+    empty = toxicity.learn_lexicon(docs, table.limit(0))
+    assert empty.weights == {} and toxicity.score_documents(docs.limit(0), empty).count() == 0
+
+
+@pytest.mark.parametrize("text", WEIRD)
+def test_every_text_survives(text):
+    secret_scan.scan(text), html_extract.extract(text), pseudonyms.Pseudonymizer().replace(text), toxicity.Lexicon({"a": 1.0}).score(text)
