@@ -16,6 +16,7 @@ from .functions import casts, sanitizers
 from .functions.typesys import Value
 from .operators.lookup import composite_exists
 from .operators.registry import Context, make_rule
+from .plans import paths
 from .plans.engine import Record, Validator
 from .plans.rulespec import parse_rule
 
@@ -398,6 +399,30 @@ def current_password_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Validator({"c_mktsegment": [rule]}).validate(_table(spark, sf_dir, "customer")).df.select("c_custkey", F.col("_valid").alias("ok"))
 
 
+def _nested_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.struct("role", F.length("text").alias("size")).alias("said")))).alias("turns"))
+
+
+def expand_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every concrete path of a starred one, with its value."""
+    return paths.expand(_nested_turns(spark, sf_dir), ["conv_id"], "turns.*.said.role")
+
+
+def flatten_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested rows as dotted columns and back."""
+    nested = _table(spark, sf_dir, "nation").select(F.struct("n_nationkey", F.struct("n_name", "n_regionkey").alias("place")).alias("nation"))
+    flat = paths.flatten(nested)
+    back = paths.set_value(paths.unflatten(flat), "nation.place.code", F.lit("x"))
+    return back.select("nation.n_nationkey", "nation.place.n_name", "nation.place.n_regionkey", "nation.place.code")
+
+
+def shape_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many shapes the JSON payloads have."""
+    events = _table(spark, sf_dir, "events").withColumn("payload", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"a": [1], "b": '), "props", F.lit("}"))).otherwise(F.col("props")))
+    return events.groupBy(paths.shape_signature(F.col("payload")).alias("shape")).count().select(F.col("count").alias("n"))
+
+
 WHOLE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "orders_violations": (orders_violations, _VIOLATIONS_SQL), "flat_fast_rules": (flat_fast_rules, _FLAT_SQL), "nested_wildcard": (nested_wildcard, _NESTED_SQL),
     "lookups_batched": (lookups_batched, _LOOKUP_SQL), "conditional_rules": (conditional_rules, _CONDITIONAL_SQL), "collect_all": (collect_all, _COLLECT_SQL),
@@ -408,6 +433,9 @@ WHOLE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "sanitize_then_validate": (sanitize_then_validate, "SELECT c_custkey, lower(c_mktsegment) AS segment, lower(c_mktsegment) IN ('building', 'machinery') AS ok FROM customer"),
     "typed_output": (typed_output, "SELECT o_orderkey AS id, o_orderkey % 2 = 0 AS flag FROM orders"),
     "json_payload": (json_payload, "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT) <= 50, false) AS ok FROM events"),
+    "expand_wildcard": (expand_wildcard, "SELECT conv_id, concat('turns.', row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1, '.said.role') AS path, role AS value FROM conversations"),
+    "flatten_nested": (flatten_nested, "SELECT n_nationkey, n_name, n_regionkey, 'x' AS code FROM nation"),
+    "shape_signatures": (shape_signatures, "SELECT count(*) AS n FROM events GROUP BY event_id % 3 = 0"),
     "rule_callback": (callback_rule, "SELECT l_orderkey, l_linenumber, l_quantity > 30 AS ok FROM lineitem"),
     "rule_current_password": (current_password_rule, "SELECT c_custkey, c_mktsegment = 'BUILDING' AS ok FROM customer"),
 }
