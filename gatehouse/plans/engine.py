@@ -129,6 +129,7 @@ class Validator:
         self.casts: dict[str, object] = {}
         self.fail_fast, self.stop_on_first, self.raises, self.dto = True, False, False, None
         self.options: dict = {}
+        self.single_wildcard = False
         self.null_is_missing, self.payload, self.payload_types = False, None, {}
         self._conditional: list[tuple[str, list[Rule], Callable[[Record], Column]]] = []
         self._add(rules)
@@ -212,6 +213,11 @@ class Validator:
 
     set_nested_flatten_mode = enable_nested_validation
 
+    def set_compat_single_wildcard(self, on: bool = True) -> Validator:
+        """Expand the first star of a path alone; what a further star names is then absent at every index."""
+        self.single_wildcard = on
+        return self
+
     def use_fragment(self, name: str, prefix: str = "") -> Validator:
         self._add(fragment(name, prefix))
         return self
@@ -415,8 +421,10 @@ class Validator:
                 value = replace(value, present=value.present & parent)
                 key = F.concat(key, F.lit(f".{inner}"))
                 label = F.concat(label, F.lit(f" {self._human(inner)}"))
-            if star:
+            if star and not self.single_wildcard:
                 return over(value, key, label, after)
+            if star:
+                value, key, label = missing(), F.concat(key, F.lit(f".*{after}")), F.concat(label, F.lit(f" *{after}"))
             exact = self.messages.aliases.get(p.name) if self.messages.aliases.has(p.name) else None
             shown = F.lit(exact) if exact else label
             context = Context(p.name, value, lambda n: record(n), self.options)

@@ -39,6 +39,7 @@ CATEGORIES: dict[str, dict[str, tuple[str, ...]]] = {
         "xls": ("application/vnd.ms-excel",), "xlsx": ("application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",), "ppt": ("application/vnd.ms-powerpoint",),
         "pptx": ("application/vnd.openxmlformats-officedocument.presentationml.presentation",), "odt": ("application/vnd.oasis.opendocument.text",),
         "ods": ("application/vnd.oasis.opendocument.spreadsheet",), "odp": ("application/vnd.oasis.opendocument.presentation",), "rtf": ("application/rtf",),
+        "pages": ("application/vnd.apple.pages",), "numbers": ("application/vnd.apple.numbers",), "key": ("application/vnd.apple.keynote",),
     },
     "ebook": {
         "epub": ("application/epub+zip",), "mobi": ("application/x-mobipocket-ebook",), "azw": ("application/vnd.amazon.ebook",), "azw3": ("application/vnd.amazon.ebook",),
@@ -53,7 +54,7 @@ CATEGORIES: dict[str, dict[str, tuple[str, ...]]] = {
         "bmp": ("image/bmp", "image/x-ms-bmp"), "webp": ("image/webp",), "svg": ("image/svg+xml",), "svgz": ("image/svg+xml",),
         "ico": ("image/x-icon", "image/vnd.microsoft.icon"), "tiff": ("image/tiff",), "tif": ("image/tiff",), "heic": ("image/heic",), "heif": ("image/heif",),
         "avif": ("image/avif",), "raw": ("image/x-dcraw",), "cr2": ("image/x-canon-cr2",), "nef": ("image/x-nikon-nef",), "dng": ("image/x-adobe-dng",),
-        "arw": ("image/x-sony-arw",), "psb": ("image/vnd.adobe.photoshop",),
+        "arw": ("image/x-sony-arw",), "psd": ("image/vnd.adobe.photoshop",), "psb": ("image/vnd.adobe.photoshop",),
     },
     "text": {
         "txt": ("text/plain",), "text": ("text/plain",), "log": ("text/plain",), "csv": ("text/csv",), "tsv": ("text/tab-separated-values",), "md": ("text/markdown",),
@@ -64,19 +65,33 @@ CATEGORIES: dict[str, dict[str, tuple[str, ...]]] = {
         "mkv": ("video/x-matroska",), "mpeg": ("video/mpeg",), "mpg": ("video/mpeg",), "ogv": ("video/ogg",), "3gp": ("video/3gpp",), "3g2": ("video/3gpp2",),
         "m4v": ("video/x-m4v",),
     },
-    "web": {"htm": ("text/html",), "xhtml": ("application/xhtml+xml",), "wasm": ("application/wasm",)},
+    "web": {
+        "html": ("text/html",), "htm": ("text/html",), "xhtml": ("application/xhtml+xml",), "css": ("text/css",), "js": ("text/javascript",), "json": ("application/json",),
+        "xml": ("application/xml",), "wasm": ("application/wasm",), "svg": ("image/svg+xml",),
+    },
 }
 
-MIME_TYPES = {ext: kinds for table in CATEGORIES.values() for ext, kinds in table.items()}
+#: The categories that the compatible lookup searches, in order, by the extension's first character.
+ROUTES = {
+    "a": "audio archive adobe apple", "b": "image archive", "c": "code document archive certificate", "d": "document database 3d image",
+    "e": "document ebook audio executable", "f": "font video audio 3d", "g": "image archive code", "h": "web code image", "i": "image text archive",
+    "j": "image code web video", "k": "code document video", "l": "text code archive", "m": "audio video document database text 3d", "n": "image text",
+    "o": "document audio video font", "p": "document image code certificate video adobe", "q": "video", "r": "image audio text video code document",
+    "s": "image audio video code text archive", "t": "image video text font code archive", "u": "text video", "v": "video text certificate",
+    "w": "audio video web font document image", "x": "document web archive audio image 3d", "y": "text code", "z": "archive", "3": "video 3d", "7": "archive",
+}
 
 
-def mime_types(extension: str) -> tuple[str, ...]:
-    return MIME_TYPES.get(extension.lower().lstrip("."), (FALLBACK,))
+def mime_types(extension: str, compat: bool = False) -> tuple[str, ...]:
+    """Content types of an extension. The compatible lookup sees only the categories of its first character."""
+    extension = extension.lower().lstrip(".")
+    names = ROUTES.get(extension[:1], "").split() if compat else CATEGORIES
+    return next((CATEGORIES[n][extension] for n in names if extension in CATEGORIES[n]), (FALLBACK,))
 
 
-def primary_mime_type(extension: str) -> str:
-    return mime_types(extension)[0]
+def primary_mime_type(extension: str, compat: bool = False) -> str:
+    return mime_types(extension, compat)[0]
 
 
-def has_extension(extension: str) -> bool:
-    return extension.lower().lstrip(".") in MIME_TYPES
+def has_extension(extension: str, compat: bool = False) -> bool:
+    return mime_types(extension, compat) != (FALLBACK,)

@@ -130,6 +130,13 @@ def test_nested_paths(spark):
     assert result(spark, schema, (("a@example.com", (20,)), None), ddl).passes()
 
 
+def test_single_wildcard_compatibility(spark):
+    r = result(spark, {"a.*.b.*": "required"}, ([(["x"],), ([],)],), "a array<struct<b:array<string>>>", setup=lambda v: v.set_compat_single_wildcard())
+    assert set(r.errors) == {"a.0.b.*", "a.1.b.*"}
+    assert mime.mime_types("php", compat=True) == mime.mime_types("php") and mime.mime_types("fbx", compat=True) == (mime.FALLBACK,) and not mime.has_extension("jar", compat=True)
+    assert mime.mime_types("numbers") == ("application/vnd.apple.numbers",) and not mime.has_extension("numbers", compat=True)
+
+
 def test_presence_modes(spark):
     df = spark.createDataFrame([('{"draft": null, "kind": "a"}',), ('{"kind": "b"}',), ("[1]",)], "props string")
     v = g.Validator({"draft": "present_if:kind,a", "kind": "required"}).set_input(payload="props")
