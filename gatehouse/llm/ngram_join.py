@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest, xxh128_digest
+from xxhash import xxh128_digest
 
-from .common import durable, shuffle_partitions
+from .common import durable, release, shuffle_partitions
 
 #: Multipliers that break ties in each global order; the first order generates, the others filter.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
@@ -31,22 +31,32 @@ ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 SKETCH_BITS = (14, 24)
 SKETCH_BLOCK = 4096
 #: Rounds of chains before the rest is compared in full, and tokens in a packed block.
-CHAIN_ROUNDS, BLOCK_TOKENS = 4, 40_000
+CHAIN_ROUNDS, BLOCK_TOKENS = 3, 40_000
 #: Bits of the bitmaps, as powers of two; tokens that a task holds for them; ids that are broadcast at most (8 MB).
 MAP_BITS, PART_TOKENS, BROADCAST_IDS = (20, 28), 4_000_000, 1_000_000
-CACHE_WORDS = 1_000_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_WORDS: dict[bytes, int] = {}
-
-
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    codes = list(map(_WORDS.get, words))
-    if None in codes:
-        if len(_WORDS) > CACHE_WORDS:
-            _WORDS.clear()
-        codes = [_WORDS.setdefault(w, xxh64_intdigest(w)) if c is None else c for w, c in zip(words, codes)]
-    return np.array(codes, dtype=np.uint64)
+_IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)  # one fixed table everywhere
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+
+def _word_hashes(raw: bytes) -> np.ndarray:
+    """Hashes of the words in order: differences of one prefix sum of a polynomial modulo 2^64."""
+    code = np.frombuffer(raw, dtype=np.uint8)
+    n = len(code)
+    while len(_POWERS["up"]) < n:
+        m = len(_POWERS["up"])
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            _POWERS[name] = np.concatenate([_POWERS[name], _POWERS[name] * np.uint64(pow(base, m, 1 << 64))])
+    edges = np.flatnonzero(np.diff(~_IS_SPACE[code], prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[code] * _POWERS["up"][:n], out=sums[1:])
+    out = (sums[ends] - sums[starts]) * _POWERS["down"][starts]
+    out ^= out >> np.uint64(32)
+    return out * np.uint64(ORDERS[2])
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -54,11 +64,10 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
     A text with fewer words has one shingle, the whole sequence; without words or text the set is empty.
     """
-    words = (text or "").encode().translate(_LOWER).split()  # bytes split at space and \\x09 to \\x0D alone
-    if not words:
+    code = _word_hashes((text or "").encode().translate(_LOWER))
+    if not len(code):
         return np.zeros(0, np.uint64)
-    span = min(width, len(words))
-    code = _word_hashes(words)
+    span = min(width, len(code))
     out = np.full(len(code) - span + 1, span, np.uint64)
     for k in range(span):
         out = (out ^ code[k : len(code) - span + 1 + k]) * np.uint64(ORDERS[0])
@@ -76,6 +85,11 @@ class Rule:
     def prefix(self, size: int) -> int:
         return size - -(-self.percent * size // 100) + 1
 
+    def room(self) -> F.Column:
+        """By a document's ``size`` and the ``pos`` of a token: what another's size times ``percent`` must not exceed, if that
+        token is the first that the two share, for all that stands before it in the order is not shared."""
+        return (100 + self.percent) * (F.col("size") - F.col("pos")).cast("long") - self.percent * F.col("size")
+
     def links(self, common, a, b):
         return (100 + self.percent) * common >= self.percent * (a + b)
 
@@ -113,7 +127,10 @@ class TokenOrders:
         return (self.repeated.holds(tokens).astype(np.uint64) << np.uint64(63)) | classes | (_order_hash(tokens, which) >> np.uint64(7))
 
     def prefix(self, tokens: np.ndarray, which: int, n: int) -> np.ndarray:
-        return _least(tokens, self.keys(tokens, which), n) if n < len(tokens) else tokens
+        """The first n tokens in the order."""
+        keys = self.keys(tokens, which)
+        first = np.argpartition(keys, n - 1)[:n] if n < len(tokens) else np.arange(len(tokens))
+        return tokens[first[np.argsort(keys[first])]]
 
 
 def _order_hash(tokens: np.ndarray, which: int) -> np.ndarray:
@@ -233,7 +250,8 @@ def _prefixes(documents: DataFrame, rule: Rule, shared) -> DataFrame:
 
 
 def _in_groups(prefixes: DataFrame, map_bits: int, part_bits: int) -> DataFrame:
-    """``token, rep, size``: the prefix tokens that more than one document may share; the others go before any shuffle."""
+    """``token, rep, size, pos``: the prefix tokens that more than one document may share, with their place in the order;
+    the others go before any shuffle."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = _Parts(part_bits)
@@ -255,12 +273,14 @@ def _in_groups(prefixes: DataFrame, map_bits: int, part_bits: int) -> DataFrame:
         for batch in batches:
             lists = batch.column("prefix")
             tokens = lists.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy(zero_copy_only=False)))
+            offsets = lists.offsets.to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
             rows = np.flatnonzero(repeated.value.holds(tokens.view(np.uint64)))
             reps, sizes = (batch.column(c).to_numpy(zero_copy_only=False)[owner[rows]] for c in ("rep", "size"))
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[rows]), pa.array(reps), pa.array(sizes)], names=["token", "rep", "size"])
+            places = (rows - (offsets - offsets[0])[owner[rows]]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[rows]), pa.array(reps), pa.array(sizes), pa.array(places)], names=["token", "rep", "size", "pos"])
 
-    return prefixes.select("rep", "size", "prefix").mapInArrow(keep, "token long, rep long, size int")
+    return prefixes.select("rep", "size", "prefix").mapInArrow(keep, "token long, rep long, size int, pos int")
 
 
 def _only(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
@@ -268,45 +288,54 @@ def _only(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
-def _sets(documents: DataFrame, rule: Rule) -> DataFrame:
-    """``rep, tokens``: whole sets, ascending, as little-endian bytes."""
+def _sets(documents: DataFrame, rule: Rule, shared) -> DataFrame:
+    """``rep, tokens, filters``: whole sets, ascending, and their prefixes under each order cut to 32 bits, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                packed = [shingle_set(t, rule.width).astype("<u8").tobytes() for t in batch.column(1).slice(at, 512).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(packed)), pa.array(packed, pa.binary())], names=["rep", "tokens"])
+                sets = [shingle_set(t, rule.width) for t in batch.column(1).slice(at, 512).to_pylist()]
+                packed = [s.astype("<u8").tobytes() for s in sets]
+                filters = [b"".join(np.sort(shared.value.prefix(s, k, rule.prefix(len(s))).astype("<u4")).tobytes() for k in range(len(ORDERS))) for s in sets]
+                cells = [batch.column(0).slice(at, len(packed)), pa.array(packed, pa.binary()), pa.array(filters, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cells, names=["rep", "tokens", "filters"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "rep long, tokens binary")
+    source = documents.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
+    return source.mapInArrow(run, "rep long, tokens binary, filters binary")
 
 
 class _Block:
-    """Several sets, with their prefixes under the filtering orders, for tests of one set against all of them."""
+    """Several sets with their prefixes, for tests of one set against all of them."""
 
-    def __init__(self, packed: list[bytes], rule: Rule, orders: TokenOrders) -> None:
-        self.rule, self.orders = rule, orders
+    def __init__(self, packed: list[bytes], filters: list[bytes], rule: Rule) -> None:
+        self.rule = rule
         self.sets = [np.frombuffer(x, dtype="<u8") for x in packed]
         self.sizes = np.array([len(s) for s in self.sets])
-        self.prefixes = [[orders.prefix(s, k, rule.prefix(len(s))) for s in self.sets] for k in range(len(ORDERS))]
-        self._joined = [np.concatenate(p) if p else np.zeros(0, np.uint64) for p in self.prefixes]
-        self._owner = [np.repeat(np.arange(len(p)), [len(x) for x in p]) for p in self.prefixes]
+        self._owner = np.repeat(np.arange(len(filters)), [len(f) // (4 * len(ORDERS)) for f in filters])
+        apart = [_by_order(f) for f in filters]
+        self._prefixes = [np.concatenate([f[k] for f in apart]) for k in range(len(ORDERS))]
 
-    def links(self, tokens: np.ndarray) -> np.ndarray:
+    def links(self, packed: bytes, filters: bytes) -> np.ndarray:
         """Positions of the sets that the set links with: filters under all orders first, then exact counts."""
+        tokens = np.frombuffer(packed, dtype="<u8")
         small, large = np.minimum(self.sizes, len(tokens)), np.maximum(self.sizes, len(tokens))
         left = 100 * small >= self.rule.percent * large
-        for k in range(len(ORDERS)):
+        for own, theirs in zip(_by_order(filters), self._prefixes):
             if not left.any():
                 return np.zeros(0, np.int64)
-            own = np.sort(self.orders.prefix(tokens, k, self.rule.prefix(len(tokens))))
             hit = np.zeros(len(self.sets), bool)
-            hit[self._owner[k][_within(self._joined[k], own)]] = True
+            hit[self._owner[_within(theirs, own)]] = True
             left &= hit
         chosen = np.flatnonzero(left)
         common = np.array([_within(self.sets[c], tokens).sum() for c in chosen], dtype=np.int64)
         return chosen[self.rule.links(common, self.sizes[chosen], len(tokens))] if len(chosen) else chosen
 
 
+def _by_order(filters: bytes) -> np.ndarray:
+    """A row for each order: the prefix under it, ascending."""
+    return np.frombuffer(filters, dtype="<u4").reshape(len(ORDERS), -1)
+
+
 def _within(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
     if not len(ascending):
         return np.zeros(len(values), bool)
@@ -315,18 +344,19 @@ def _within(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
     return ascending[at] == values
 
 
-def _verify_pairs(pairs: DataFrame, sets: DataFrame, rule: Rule, shared) -> DataFrame:
+def _verify_pairs(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs ``a, b`` that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = [bool(len(_Block([q], rule, shared.value).links(np.frombuffer(p, dtype="<u8")))) for p, q in zip(x, y)]
+            cells = (batch.column(k).to_pylist() for k in range(2, 6))
+            keep = [bool(len(_Block([q], [g], rule).links(p, f))) for p, f, q, g in zip(*cells)]
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
-    left = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    pairs = durable(pairs)
+    left = _only(sets, pairs.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("a"), F.col("tokens").alias("x"), F.col("filters").alias("fx"))
+    right = _only(sets, pairs.select(F.col("b").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("b"), F.col("tokens").alias("y"), F.col("filters").alias("fy"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "fx", "y", "fy").mapInArrow(run, "a long, b long")
 
 
 def _packed(rows: DataFrame, key: str) -> DataFrame:
@@ -334,10 +364,10 @@ def _packed(rows: DataFrame, key: str) -> DataFrame:
     ahead = W.partitionBy(key).orderBy("rep").rowsBetween(W.unboundedPreceding, -1)
     at = F.coalesce(F.sum(F.octet_length("tokens")).over(ahead), F.lit(0))
     blocked = rows.withColumn("block", F.floor(at / (8 * BLOCK_TOKENS)))
-    return blocked.groupBy(key, "block").agg(F.collect_list(F.struct("rep", "tokens")).alias("held"))
+    return blocked.groupBy(key, "block").agg(F.collect_list(F.struct("rep", "tokens", "filters")).alias("held"))
 
 
-def _verify_components(pairs: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule, shared) -> DataFrame:
+def _verify_components(pairs: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Links between the components of each pair ``large, small``: every set of the one against every set of the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,15 +375,17 @@ def _verify_components(pairs: DataFrame, members: DataFrame, sets: DataFrame, ru
             found: list[tuple[int, int]] = []
             for small, large in zip(batch.column(0), batch.column(1)):
                 large = large.as_py()
-                block = _Block([h["tokens"] for h in large], rule, shared.value)
+                block = _Block([h["tokens"] for h in large], [h["filters"] for h in large], rule)
                 for h in small.as_py():
-                    for k in block.links(np.frombuffer(h["tokens"], dtype="<u8")):
+                    for k in block.links(h["tokens"], h["filters"]):
                         found.append((h["rep"], large[k]["rep"]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
-    own = members.join(sets, "rep")  # component, rep, tokens
-    smalls = _packed(pairs.join(own, pairs["small"] == own["component"]).select("large", "rep", "tokens"), "large")
+    wanted = durable(pairs.select(F.explode(F.array("large", "small")).alias("component")).distinct())
+    mine = durable(members.join(wanted, "component", "left_semi"))
+    own = mine.join(_only(sets, mine.select("rep").distinct(), "rep", "left_semi"), "rep")  # component, rep, tokens
+    smalls = _packed(pairs.join(own, pairs["small"] == own["component"]).select("large", "rep", "tokens", "filters"), "large")
     larges = _packed(own.join(pairs.select(F.col("large").alias("component")).distinct(), "component", "left_semi"), "component")
     both = smalls.select("large", F.col("held").alias("s")).join(larges.select(F.col("component").alias("large"), F.col("held").alias("l")), "large")
     return both.select("s", "l").mapInArrow(run, "a long, b long")
@@ -424,57 +456,60 @@ def jaccard_components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     others = copies.select(F.col("a").alias("rep")).distinct()
     prefixes = durable(_only(_prefixes(documents, rule, shared).where("rep IS NOT NULL AND size > 0"), others, "rep", "left_anti"))
+    postings = _in_groups(prefixes, map_bits, part_bits).withColumn("room", rule.room())
     by_size = W.partitionBy("token").orderBy("size", "rep")
-    postings = _in_groups(prefixes, map_bits, part_bits)
-    chained = postings.select("token", "rep", "size", F.lag("rep").over(by_size).alias("before"), F.lead("rep").over(by_size).alias("after"))
-    in_groups = durable(chained.where("before IS NOT NULL OR after IS NOT NULL").select("token", "rep", "size", "before"))
-    sets = durable(_sets(_only(documents, in_groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), rule))
-
-    links = None
-    pairs = in_groups.where("before IS NOT NULL").select(F.least("before", "rep").alias("a"), F.greatest("before", "rep").alias("b"))
-    groups = in_groups.select("token", "rep")
-    labels = None
-    for k in range(1, CHAIN_ROUNDS + 1):
-        found = durable(_verify_pairs(pairs.where("a <> b").distinct(), sets, rule, shared))
-        none = found.isEmpty()
+    beside = F.lag("rep").over(by_size).isNotNull() | F.lead("rep").over(by_size).isNotNull()
+    groups = durable(postings.withColumn("beside", beside).where("beside").select("token", "rep", "size", "room"))
+    sets = durable(_sets(_only(documents, groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), rule, shared))
+
+    links = labels = None
+    for k in range(CHAIN_ROUNDS):
+        release(spark)
+        order = W.partitionBy("token").orderBy("size", "rep") if k == 0 else W.partitionBy("token").orderBy(F.xxhash64("rep", F.lit(k)), "rep")
+        named = groups.withColumn("component", F.col("rep")) if labels is None else _named(groups, labels)
+        pairs = _steps(named, order, rule)
+        found = durable(_verify_pairs(pairs, sets, rule))
         links = found if links is None else links.unionByName(found)
-        if none and labels is not None:
-            break
-        labels = connected_components(links)
-        named = _named(groups, labels)
+        none = found.isEmpty()
+        if labels is None or not none:
+            labels = connected_components(links)
         mixed = F.min("component").over(W.partitionBy("token")) != F.max("component").over(W.partitionBy("token"))
-        groups = durable(named.withColumn("mixed", mixed).where("mixed").select("token", "rep", "component"))
-        if groups.isEmpty():
+        groups = durable(_named(groups, labels).withColumn("mixed", mixed).where("mixed").select("token", "rep", "size", "room"))
+        if none or groups.isEmpty():
             break
-        order = W.partitionBy("token").orderBy(F.xxhash64("rep", F.lit(k)), "rep")
-        steps = groups.select("rep", "component", F.lag("rep").over(order).alias("before"), F.lag("component").over(order).alias("was"))
-        pairs = steps.where("was IS NOT NULL AND was <> component").select(F.least("before", "rep").alias("a"), F.greatest("before", "rep").alias("b"))
-        groups = groups.select("token", "rep")
-    else:
-        links = links.unionByName(_remaining(groups, labels, sets, rule, shared))
-        labels = None
-    if labels is not None and not groups.isEmpty():  # a round without a link: compare what is left
-        links = links.unionByName(_remaining(groups, labels, sets, rule, shared))
+    if not groups.isEmpty():
+        links = links.unionByName(_remaining(groups, labels, sets, rule))
     final = durable(connected_components(links.unionByName(copies)).distinct())
     joined = rows.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
+def _steps(named: DataFrame, order, rule: Rule) -> DataFrame:
+    """Distinct pairs ``a, b`` of neighbours in each token's group that are in different components and may link."""
+    before = {c: F.lag(c).over(order).alias(f"other_{c}") for c in ("rep", "component", "size", "room")}
+    steps = named.select("rep", "component", "size", "room", *before.values()).where("other_component <> component")
+    fits = (F.col("room") >= rule.percent * F.col("other_size")) & (F.col("other_room") >= rule.percent * F.col("size"))
+    return steps.where(fits).select(F.least("other_rep", "rep").alias("a"), F.greatest("other_rep", "rep").alias("b")).distinct()
+
+
 def _named(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    return groups.join(labels.select(F.col("node").alias("rep"), "root").distinct(), "rep", "left").select("token", "rep", F.coalesce("root", "rep").alias("component"))
+    own = labels.select(F.col("node").alias("rep"), "root").distinct()
+    return groups.join(own, "rep", "left").select("token", "rep", "size", "room", F.coalesce("root", "rep").alias("component"))
 
 
-def _remaining(groups: DataFrame, labels: DataFrame, sets: DataFrame, rule: Rule, shared) -> DataFrame:
-    """Links between different components that share a token, by comparing all their members."""
-    named = durable(_named(groups, labels))
+def _remaining(groups: DataFrame, labels: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Links between different components that may link by a token they share, by comparing all their members."""
+    release(groups.sparkSession)
     held = sets.select("rep").join(labels.select(F.col("node").alias("rep"), "root").distinct(), "rep", "left").select("rep", F.coalesce("root", "rep").alias("component"))
     members = durable(held.distinct())
     sizes = members.groupBy("component").agg(F.count("*").alias("n"))
-    at = durable(named.select("token", "component").distinct().join(sizes, "component"))
+    best = _named(groups, labels).groupBy("token", "component").agg(F.max("room").alias("room"), F.min("size").alias("size"))
+    at = durable(best.join(sizes, "component"))
     x, y = at.alias("x"), at.alias("y")
     larger = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.component") > F.col("y.component")))
-    pairs = durable(x.join(y, (F.col("x.token") == F.col("y.token")) & larger).select(F.col("x.component").alias("large"), F.col("y.component").alias("small")).distinct())
-    return durable(_verify_components(pairs, members, sets, rule, shared))
+    fits = (F.col("x.room") >= rule.percent * F.col("y.size")) & (F.col("y.room") >= rule.percent * F.col("x.size"))
+    pairs = durable(x.join(y, (F.col("x.token") == F.col("y.token")) & larger & fits).select(F.col("x.component").alias("large"), F.col("y.component").alias("small")).distinct())
+    return durable(_verify_components(pairs, members, sets, rule))
 
 
 def one_of_each(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -482,5 +517,6 @@ def one_of_each(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     Of identical rows with that id all stay; documents with empty texts or null ids stay.
     """
-    components = jaccard_components(documents, rule).where("component_id <> doc_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    return documents.join(components, documents["doc_id"].cast("long") == F.col("__dropped"), "left_anti")
+    dropped = durable(jaccard_components(documents, rule).where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct())
+    kept = _only(documents.withColumn("__id", F.col("doc_id").cast("long")), dropped, "__id", "left_anti")
+    return kept.drop("__id")
