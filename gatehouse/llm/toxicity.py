@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
 Folding undoes look-alike letters and digits, so that ``1d1oт`` and ``idiot`` are one word. The lexicon is
-learned from labelled documents: words, and beginnings of words, that are far commoner in toxic ones. A
+learned from labelled documents: words, and beginnings of words, that are surely likelier in toxic ones. A
 text's score is the weight it collects outside exception phrases, normalised by length.
 """
 
@@ -25,8 +25,8 @@ from .common import durable, map_rows
 TRAIN_ROWS = 12_000
 #: Terms kept at most, the strongest first, which bounds what every worker holds.
 MAX_TERMS = 4000
-#: A term's toxic share must be over this with the confidence of so many standard deviations.
-TOXIC_SHARE, SIGMAS = 0.5, 3.0
+#: A term must be so many times likelier in toxic documents, with the confidence of so many standard deviations.
+LIKELIER, SIGMAS = 3.0, 3.0
 PREFIX_MIN, PREFIX_MAX = 4, 12
 HELD_OUT_FOLDS = 5
 
@@ -92,7 +92,7 @@ class Lexicon:
         return found
 
     def raw(self, text: str | None) -> float:
-        """Weight of the text's hits, divided by the logarithm of its length in words. Null and empty texts have 0."""
+        """Weight of the text's hits, divided by the square root of its length in words. Null and empty texts have 0."""
         if not text or not len(self.weights) + len(self.exceptions):
             return 0.0
         folded = fold(text)
@@ -107,7 +107,7 @@ class Lexicon:
         if not hits:
             return 0.0
         total = sum(w for at, w in hits.items() if not any(a <= at < b for a, b in free))
-        return total / (1.0 + math.log10(1 + folded.count(" ")))
+        return total / math.sqrt(10 + folded.count(" "))
 
     def score(self, text: str | None) -> float:
         """0 to 1; 0.5 at the threshold."""
@@ -137,21 +137,27 @@ def learn_lexicon(documents: DataFrame, labels: DataFrame, train_rows: int = TRA
     """Fit the lexicon on labelled documents outside the held-out fold.
 
     Copies must not vote: of documents that share a text or one of three minimum hashes of word triples, the smallest
-    id counts alone. A term needs a toxic share surely over a half. Labels that are null, or whose document
+    id counts alone. A term must surely be likelier in toxic documents. Labels that are null, or whose document
     is missing, teach nothing; without toxic ones the lexicon is empty and every score 0.
     """
-    train = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-        .where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    )
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
+        F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))
+    )
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    share = min(1.0, 2.0 * train_rows / max(1, usable.count()))  # about twice as many as are kept, so that no task sorts all labels
+    train = usable.where(place < int(share * (1 << 30))).orderBy(place, "doc_id").limit(train_rows)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     joined = texts.join(F.broadcast(train), "doc_id").select("doc_id", "toxic", "text")  # at most train_rows rows of two numbers
     seen = durable(_labelled_features(joined))
     kept = seen.select("doc_id")
     for k in range(3):
         kept = kept.join(seen.groupBy(f"h{k}").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "doc_id", "left_semi")
-    own = seen.join(kept, "doc_id", "left_semi").select("toxic", F.explode("words").alias("word"))
+    voting = durable(seen.join(kept, "doc_id", "left_semi"))
+    n_bad, n_good = voting.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(F.lit(1) - F.col("toxic")), F.lit(0))).first()
+    if not n_bad or not n_good:
+        return Lexicon({})
+    odds = n_bad / n_good
+    own = voting.select("toxic", F.explode("words").alias("word"))
     sums = [F.sum("toxic").alias("bad"), F.sum(F.lit(1) - F.col("toxic")).alias("good")]
     words = durable(own.groupBy("word").agg(*sums))
     lengths = F.sequence(F.lit(PREFIX_MIN), F.least(F.length("word"), F.lit(PREFIX_MAX)))
@@ -161,15 +167,15 @@ def learn_lexicon(documents: DataFrame, labels: DataFrame, train_rows: int = TRA
     n, share = F.col("bad") + F.col("good"), F.col("bad") / (F.col("bad") + F.col("good"))
     z = SIGMAS * SIGMAS
     surely = (share + z / (2 * n) - SIGMAS * F.sqrt(share * (1 - share) / n + z / (4 * n * n))) / (1 + z / n)
-    strong = terms.withColumn("surely", surely).where(F.col("surely") > TOXIC_SHARE)
+    strong = terms.withColumn("surely", surely).where(F.col("surely") > LIKELIER * odds / (1 + LIKELIER * odds))
     rows = strong.orderBy(F.desc("surely"), "term").limit(MAX_TERMS).collect()
     weights: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (len(r["term"]), r["term"])):
-        weight = math.log((r["bad"] + 0.5) / (r["good"] + 0.5))
+        weight = math.log((r["bad"] + 0.5) / (r["good"] + 0.5) / odds)
         shorter = [weights[r["term"][:k]] for k in range(PREFIX_MIN, len(r["term"])) if r["term"][:k] in weights]
-        if weight > max(shorter, default=0.0) + 1.0 or not shorter and weight > 0:  # else its beginning says as much
+        if not shorter or weight > max(shorter) + 1.0:  # else its beginning says as much
             weights[r["term"]] = weight
-    return Lexicon(weights, _threshold(Lexicon(weights), joined.join(kept, "doc_id", "left_semi")))
+    return Lexicon(weights, _threshold(Lexicon(weights), joined.join(F.broadcast(kept), "doc_id", "left_semi")))
 
 
 def _labelled_features(joined: DataFrame) -> DataFrame:
