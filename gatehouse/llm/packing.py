@@ -47,16 +47,23 @@ class WordEncoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each whole text."""
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known = self._known
-        new = [w for w in dict.fromkeys(w for x in words for w in x) if w not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known = self._known = {}
-            new = list(dict.fromkeys(w for x in words for w in x))
+        known, rows, new = self._known, [], {}
+        for text in texts:
+            for c in "\n\t\r":
+                if c in text:
+                    text = text.replace(c, " ")
+            words = text.split(" ")
+            ids = list(map(known.get, words))
+            rows.append((words, ids))
+            if None in ids:
+                new.update((w, None) for w, x in zip(words, ids) if x is None)
         if new:
-            done = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(new, done))
-        return [b"".join(map(known.__getitem__, x)) for x in words]
+            done = self.tokenizer.encode_batch_fast(list(new), add_special_tokens=False)
+            new = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, done)}
+            if len(known) + len(new) > CACHE_WORDS:
+                known.clear()
+            known.update(new)
+        return [b"".join([new[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids) for words, ids in rows]
 
 
 @lru_cache(maxsize=2)
