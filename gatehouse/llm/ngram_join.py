@@ -429,6 +429,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         marked = durable(stars.join(least, "node").join(up, "least", "left"))
         if marked.where("n > 1 OR above IS NOT NULL").isEmpty():
             return marked.select("node", "root")
+        release(edges.sparkSession)
         best = F.coalesce("above", "least")
         nodes = marked.select(F.col("node").alias("a"), best.alias("b"))
         roots = marked.where(F.col("root") != best).select(F.col("root").alias("a"), best.alias("b"))
@@ -469,7 +470,7 @@ def jaccard_components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
         named = groups.withColumn("component", F.col("rep")) if labels is None else _named(groups, labels)
         pairs = _steps(named, order, rule)
         found = durable(_verify_pairs(pairs, sets, rule))
-        links = found if links is None else links.unionByName(found)
+        links = found if labels is None else labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
         none = found.isEmpty()
         if labels is None or not none:
             labels = connected_components(links)
@@ -479,6 +480,7 @@ def jaccard_components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
             break
     if not groups.isEmpty():
         links = links.unionByName(_remaining(groups, labels, sets, rule))
+    release(spark)
     final = durable(connected_components(links.unionByName(copies)).distinct())
     joined = rows.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
