@@ -2,9 +2,9 @@
 
 A bin is described by the lengths it holds, and equal bins by one pattern and a multiplicity, so the
 planner's state depends on the capacity and never on the size of the corpus: the histogram of piece lengths
-has at most ``capacity`` rows. Best fit gives the first packing; local search then exchanges one for one,
-two for one, or moves pieces between underfull bins. Every exchange increases the sum of squared fills, so
-it ends, and it empties bins. The plan is a small table of rank ranges by length; each piece finds its
+has at most ``capacity`` rows. Best fit gives the first packing; local search then exchanges one or two pieces
+for one or two, or moves them, between underfull bins, in as many equal bins at once as there are. Every exchange
+increases the sum of squared fills, so it ends, and it empties bins. The plan is a small table of rank ranges by length; each piece finds its
 place from its rank among the pieces of its length, which is computed by salted, distributed counts.
 """
 
@@ -12,10 +12,12 @@ from __future__ import annotations
 
 import os
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,6 @@ WORD_BPE = f"{TOKENIZER_DIR}/word_bpe_49k.json"
 CAPACITY = 2048
 SEPARATOR = 0
 CACHE_WORDS = 1_000_000
-#: Underfull patterns that one search step looks at, those with most room first, and the steps in all. Both bound the
-#: driver's work by the capacity alone; every bin stays packed however early the search ends.
-SEARCH_WIDTH, SEARCH_STEPS = 600, 2000
 
 
 class WordEncoder:
@@ -135,75 +134,135 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[Bins]:
     return [b for room in sorted(by_room) for b in by_room[room]]
 
 
-def _exchange(donor: Bins, receivers: list[tuple[int, Bins]]) -> tuple[Bins, Counter, Counter] | None:
-    """The exchange that carries most from one donor bin into a fuller one: what goes and what comes back."""
-    best: tuple[int, Bins, Counter, Counter] | None = None
-    lengths = sorted(donor.items, reverse=True)
-    pairs = sorted({a + b: (a, b) for k, a in enumerate(lengths) for b in lengths[k:] if a != b or donor.items[a] > 1}.items())
-    sums = [s for s, _ in pairs]
-
-    def consider(gain: int, bins: Bins, goes: Counter, back: Counter) -> None:
-        nonlocal best
-        if gain > 0 and (best is None or gain > best[0]):
-            best = (gain, bins, goes, back)
-
-    for room, bins in receivers:
-        if best and room <= best[0]:
-            continue
-        for a in lengths:
-            if a <= room:
-                consider(a, bins, Counter([a]), Counter())
+Pattern = tuple[tuple[int, int], ...]
+
+
+def _picks(pattern: Pattern) -> dict[int, tuple[int, ...]]:
+    """One or two pieces of a bin, by the sum of their lengths."""
+    out = {a + b: (a, b) for k, (a, n) in enumerate(pattern) for b, _ in pattern[k:] if a != b or n > 1}
+    return out | {a: (a,) for a, _ in pattern}
+
+
+class Shelf:
+    """Underfull patterns and their multiplicities, found by room."""
+
+    def __init__(self, capacity: int) -> None:
+        self.capacity = capacity
+        self.count: dict[Pattern, int] = {}
+        self.picks: dict[Pattern, dict[int, tuple[int, ...]]] = {}
+        self.by_room: dict[int, dict[Pattern, None]] = defaultdict(dict)
+        self.rooms: list[int] = []
+        self.sums: dict[Pattern, list[int]] = {}  # ascending: what may come back
+        self.born: dict[int, int] = {}  # by room: when a pattern last came there
+        self.clock = 0
+
+    def room(self, pattern: Pattern) -> int:
+        return self.capacity - sum(length * n for length, n in pattern)
+
+    def add(self, pattern: Pattern, n: int) -> None:
+        """A second bin of a pattern counts as new, for bins of one pattern may exchange among themselves."""
+        room, before = self.room(pattern), self.count.get(pattern, 0)
+        self.count[pattern] = before + n
+        if not before:
+            if not self.by_room[room]:
+                insort(self.rooms, room)
+            self.by_room[room][pattern] = None
+            self.picks[pattern] = _picks(pattern)
+            self.sums[pattern] = [0, *sorted(self.picks[pattern])]
+        if before < 2:
+            self.clock += 1
+            self.born[room] = self.clock
+
+    def take(self, pattern: Pattern, n: int) -> None:
+        self.count[pattern] -= n
+        if not self.count[pattern]:
+            room = self.room(pattern)
+            del self.count[pattern], self.picks[pattern], self.sums[pattern], self.by_room[room][pattern]
+            if not self.by_room[room]:
+                self.rooms.pop(bisect_left(self.rooms, room))
+
+    def exchange(self, donor: Pattern, since: int) -> tuple[Pattern, tuple[int, ...], tuple[int, ...], int] | None:
+        """The exchange that carries most, over all its bins, from the donor into bins as full or fuller, in a room where a
+        pattern came later than ``since``: the receiver, what goes, what comes back, and in how many bins."""
+        most, found = 0, None
+        held = self.count[donor]
+        goes = sorted(self.picks[donor], reverse=True)
+        for k in range(bisect_right(self.rooms, self.room(donor)) - 1, -1, -1):
+            room = self.rooms[k]
+            if room * held <= most:  # no gain exceeds the room
                 break
-        held = sorted(bins.items)
-        for b in held:
-            for a in lengths:
-                if a - b <= room:
-                    consider(a - b, bins, Counter([a]), Counter([b]))
-                    break
-            k = bisect_left(sums, b + room + 1) - 1
-            if k >= 0:
-                consider(sums[k] - b, bins, Counter(pairs[k][1]), Counter([b]))
-        for k, b in enumerate(held):
-            for c in held[k:]:
-                if b == c and bins.items[b] < 2:
+            if self.born[room] <= since:
+                continue
+            for target in self.by_room[room]:
+                n = held // 2 if target == donor else min(held, self.count[target])
+                if room * n <= most:
                     continue
-                for a in lengths:
-                    if a - b - c <= room:
-                        consider(a - b - c, bins, Counter([a]), Counter([b, c]))
+                sums = self.sums[target]
+                for length in goes:
+                    if length * n <= most:
                         break
-    return best and best[1:]
+                    at = bisect_left(sums, length - room)
+                    if at < len(sums) and (length - sums[at]) * n > most:
+                        most, found = (length - sums[at]) * n, (target, length, sums[at], n)
+        if found is None:
+            return None
+        target, length, back, n = found
+        return target, self.picks[donor][length], self.picks[target][back] if back else (), n
+
+
+def _changed(pattern: Pattern, off: tuple[int, ...], on: tuple[int, ...]) -> Pattern:
+    items = Counter(dict(pattern))
+    items.subtract(off)
+    items.update(on)
+    return tuple(sorted((length, n) for length, n in items.items() if n))
 
 
 def local_search(bins: list[Bins], capacity: int) -> list[Bins]:
-    """Empty the least filled bin again and again, until no exchange helps or no bin can be saved."""
-    full = [b for b in bins if b.fill == capacity]
-    under = sorted((b for b in bins if b.fill < capacity), key=lambda b: b.fill)
+    """Empty the least filled bins again and again, until no pattern has an exchange or no bin can be saved.
+
+    An exchange is done in as many bins at once as both patterns have. A pattern that finds none is tried again only
+    with the rooms where others came since.
+    """
     least = -(-sum(b.fill * b.count for b in bins) // capacity)
-    stuck: list[Bins] = []
-    for _ in range(SEARCH_STEPS):
-        if not under or sum(b.count for x in (full, under, stuck) for b in x) <= least:
-            break
-        donor = under.pop(0)
-        if donor.count > 1:
-            under.insert(0, Bins(donor.items.copy(), donor.count - 1))
-            donor = Bins(donor.items, 1)
-        receivers = [(capacity - b.fill, b) for b in under[:SEARCH_WIDTH]]
-        done = _exchange(donor, receivers)
-        if done is None:
-            stuck.append(donor)
-            continue
-        target, goes, back = done
-        target.count -= 1
-        if not target.count:
-            under.remove(target)
-        made = Bins(target.items - back + goes, 1)
-        donor = Bins(donor.items - goes + back, 1)
-        for b in (made, donor):
-            if b.fill == capacity:
-                full.append(b)
-            elif b.items:
-                insort(under, b, key=lambda x: x.fill)
-    return full + under + stuck
+    total = sum(b.count for b in bins)
+    shelf, full = Shelf(capacity), Counter()
+    waiting: list[tuple[int, Pattern]] = []  # a heap, most room first
+    tried: dict[Pattern, int] = {}
+
+    def put(pattern: Pattern, n: int) -> None:
+        if pattern and shelf.room(pattern):
+            if pattern not in shelf.count:
+                tried[pattern] = 0
+                heappush(waiting, (-shelf.room(pattern), pattern))
+            shelf.add(pattern, n)
+        elif pattern:
+            full[pattern] += n
+
+    for b in bins:
+        if b.count:
+            put(_changed((), (), tuple(b.items.elements())), b.count)
+    while total > least:
+        if not waiting:
+            last = sorted((r, shelf.born[r]) for r in shelf.rooms)
+            newest = dict(zip((r for r, _ in last), accumulate((t for _, t in last), max)))  # of all rooms up to this one
+            waiting = [(-r, p) for r in shelf.rooms for p in shelf.by_room[r] if newest[r] > tried[p]]
+            heapify(waiting)
+            if not waiting:
+                break
+        _, donor = heappop(waiting)
+        while total > least and donor in shelf.count:
+            done = shelf.exchange(donor, tried[donor])
+            if done is None:
+                tried[donor] = shelf.clock
+                break
+            target, goes, back, n = done
+            shelf.take(donor, n)
+            shelf.take(target, n)
+            left = _changed(donor, goes, back)
+            put(_changed(target, back, goes), n)
+            put(left, n)
+            total -= 0 if left else n
+    return [Bins(Counter(dict(p)), n) for x in (full, shelf.count) for p, n in x.items()]
 
 
 @dataclass(frozen=True)

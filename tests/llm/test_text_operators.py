@@ -188,6 +188,28 @@ def test_local_search_empties_bins():
     assert sum(b.count for b in packing.local_search(bins, 2048)) == 2
 
 
+def test_local_search_moves_whole_multiplicities():
+    n = 100_000
+    histogram = {748: 2 * n, 700: 2 * n, 600: 2 * n}  # 2n full bins; best fit leaves n / 3 more
+    bins = packing.local_search(packing.best_fit(histogram, 2048), 2048)
+    assert sum(b.count for b in bins) == 2 * n
+    assert sum((Counter({k: c * b.count for k, c in b.items.items()}) for b in bins), Counter()) == histogram
+
+
+def test_local_search_ends_without_an_exchange():
+    r = random.Random(3)
+    for _ in range(10):
+        histogram = dict(Counter(r.choices(range(300, 1200, r.randint(7, 60)), k=r.randint(5, 300))))
+        bins = packing.local_search(packing.best_fit(histogram, 2048), 2048)
+        assert sum((Counter({k: c * b.count for k, c in b.items.items()}) for b in bins), Counter()) == histogram
+        if sum(b.count for b in bins) == -(-sum(k * c for k, c in histogram.items()) // 2048):
+            continue
+        for x in bins:
+            for y in bins:
+                if x.fill <= y.fill < 2048 and (x is not y or x.count > 1):
+                    assert not any(0 < a - b <= 2048 - y.fill for a in x.items for b in (0, *y.items))
+
+
 def test_packing_table(spark):
     rows = [(k, t) for k, t in enumerate(WEIRD * 4)] + [(1, None), (1, None), (None, "x")]
     got = packing.pack_documents(documents(spark, rows)).collect()
