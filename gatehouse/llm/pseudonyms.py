@@ -37,7 +37,7 @@ NUMBERS = re.compile(
     r"|(?P<phone>\+\d{1,3}[\x20.-]?\(\d{3}\)[\x20.-]?\d{3}[\x20.-]\d{4}|\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d{2,4}(?:[\x20.-]?\d{2,4}){1,4}|\(\d{3}\)\x20?\d{3}[\x20.-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})"
     r")(?!\w)"
 )
-_DIGIT = re.compile(r"\d{2}")
+_DIGIT = re.compile(r"\d")  # in every format of NUMBERS
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
 

@@ -286,6 +286,13 @@ def test_pseudonyms_keep_formats():
     assert p.replace("a 999.1.1.1 and 1111111111111112, no@where") == ("a 999.1.1.1 and 1111111111111112, no@where", [])
 
 
+def test_addresses_of_single_digits():
+    p = pseudonyms.Pseudonymizer(b"key")
+    new, found = p.replace("ask 8.8.8.8 or 1.1.1.1 today")
+    assert [k for _, _, k, _ in found] == ["ip", "ip"]
+    assert p.replace("in 2024 ask 8.8.8.8")[0].endswith(found[0][3])
+
+
 def test_pseudonym_table(spark):
     rows = [(1, None), (2, ""), (3, "mail x.12@mail1.example.com"), (4, "again x.12@mail1.example.com"), (4, "again x.12@mail1.example.com")]
     out = pseudonyms.pseudonymize_documents(documents(spark, rows)).collect()
