@@ -38,6 +38,16 @@ NUMBERS = re.compile(
     r")(?!\w)"
 )
 _DIGIT = re.compile(r"\d")  # in every format of NUMBERS
+#: Characters of an IBAN by country, as registered.
+IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO EG GT HU LB NI PL SV", 29: "BR PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
 
@@ -103,6 +113,12 @@ def iban_remainder(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+def iban_ends(match: str) -> list[int]:
+    """Where an IBAN may end in a match that may hold the words behind it: at its country's length, else at a word's end, the last first."""
+    ends = [k for k in range(len(match), 0, -1) if k == len(match) or match[k] == " "]
+    return sorted(ends, key=lambda k: len(match[:k].replace(" ", "")) != IBAN_LENGTHS.get(match[:2]))
+
+
 def _refill(shape: str, characters: str, ours=str.isalnum) -> str:
     """The shape with its own characters replaced in order and its separators kept."""
     it = iter(characters)
@@ -220,11 +236,15 @@ class Pseudonymizer:
             m = NUMBERS.search(text)
             while m:
                 kind = next(k for k in KINDS if k != "email" and m[k] is not None)
-                apart = not any(s < m.end() and m.start() < e for s, e in taken)
-                new = getattr(self, kind)(m[0]) if apart else None
-                if new is not None:
-                    found.append((m.start(), m.end(), kind, new))
-                m = NUMBERS.search(text, m.start() + 1 if new is None else m.end())  # what is not valid may hold what is
+                new, end = None, m.end()
+                for k in iban_ends(m[0]) if kind == "iban" else (len(m[0]),):
+                    end = m.start() + k
+                    if not any(s < end and m.start() < e for s, e in taken):
+                        new = getattr(self, kind)(m[0][:k])
+                    if new is not None:
+                        found.append((m.start(), end, kind, new))
+                        break
+                m = NUMBERS.search(text, m.start() + 1 if new is None else end)  # what is not valid may hold what is
             found.sort()
         return found
 

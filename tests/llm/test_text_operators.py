@@ -293,6 +293,16 @@ def test_addresses_of_single_digits():
     assert p.replace("in 2024 ask 8.8.8.8")[0].endswith(found[0][3])
 
 
+@pytest.mark.parametrize("iban", ["ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "GB82 WEST 1234 5698 7654 32"])
+@pytest.mark.parametrize("behind", ["", " EUR", " 2024", " A 12", " X1 8.8.8.8", " OK@mail.example.com"])
+def test_iban_before_a_word(iban, behind):
+    p, q = pseudonyms.Pseudonymizer(b"key"), pseudonyms.Pseudonymizer(b"key", backwards=True)
+    alone, text = p.replace(iban)[0], f"to {iban}{behind}, please"
+    new, found = p.replace(text)
+    assert alone != iban and new.startswith(f"to {alone}") and (3, 3 + len(iban), "iban") in [x[:3] for x in found]
+    assert q.replace(new)[0] == text
+
+
 def test_pseudonym_table(spark):
     rows = [(1, None), (2, ""), (3, "mail x.12@mail1.example.com"), (4, "again x.12@mail1.example.com"), (4, "again x.12@mail1.example.com")]
     out = pseudonyms.pseudonymize_documents(documents(spark, rows)).collect()
