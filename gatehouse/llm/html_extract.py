@@ -1,8 +1,9 @@
 """Main text of web pages by tree scoring.
 
 Paragraphs give points for their length and commas to the containers above them, less with distance; a
-container's points are discounted by the share of its text that is links. The best container and those
-of its siblings that read like it are kept, without whatever is named or marked as something else.
+container's points are discounted by the share of its text that is links. The best container, or its parent
+where siblings score alike, and those siblings that read like it are kept with the headings right before
+them, without whatever is named or marked as something else.
 """
 
 from __future__ import annotations
@@ -36,6 +37,11 @@ OTHER_NAMES = frozenset(
     "sidebar aside menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer comment comments respond replies disqus discussion related recommended share sharing social "
     "newsletter subscribe subscription signup login widget widgets masthead toolbar skip".split()
 )
+#: What an id inside the chosen text may consist of and still name a part of the page; one with any other word is the slug of a chapter.
+PAGE_PARTS = OTHER_NAMES - {"discussion"} | frozenset("posts articles links stories list box section form area container wrapper buttons block bar items content thread count".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Siblings with this share of the best one's points belong to it; with the second, they score alike.
+BAR, ALIKE = 0.2, 0.5
 HEADER_NAMES = frozenset("header topbar".split())
 BONUS = {"article": 40.0, "main": 30.0}
 
@@ -47,28 +53,35 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Node:
     """An element, its parts in order (texts and elements), and what it is called."""
 
-    __slots__ = ("tag", "parent", "parts", "names", "dropped", "score", "length", "linked")
+    __slots__ = ("tag", "parent", "parts", "names", "slug", "dropped", "score", "length", "linked")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent = tag, parent
         self.parts: list[str | Node] = []
         self.names: frozenset[str] = frozenset()
+        self.slug: frozenset[str] = frozenset()  # the words of the id, if it is dropped for them alone
         self.dropped = tag in NEVER
         self.score = BONUS.get(tag, 0.0)
         self.length = self.linked = 0
 
 
 def _read_attributes(node: Node, text: str) -> None:
+    slug: frozenset[str] = frozenset()
     for name, value in _ATTRIBUTE.findall(text):
         name, value = name.lower(), html.unescape(value.strip("\"'"))
-        if name in ("class", "id"):
+        if name == "class":
             node.names |= {x.lower() for x in _NAME.findall(value)}
+        elif name == "id":
+            slug |= {x.lower() for x in _NAME.findall(value)}
         elif name == "role":
             node.dropped |= value.strip().lower() in OTHER_ROLES
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
             node.dropped = True
     if node.tag not in ("article", "main", "body", "html"):
         node.dropped |= bool(node.names & OTHER_NAMES)
+        if slug & OTHER_NAMES and not node.dropped:
+            node.dropped, node.slug = True, slug
+    node.names |= slug
 
 
 def parse(page: str) -> Node:
@@ -174,6 +187,27 @@ def _drop_headers(order: list[Node]) -> None:
             node.dropped = above is None or not any(isinstance(x, Node) and x.tag in ("h1", "h2", "hgroup") for x in node.parts)
 
 
+def _is_chapter(node: Node) -> bool:
+    """Whether what is dropped for its id alone is the text's own: a heading, or a section whose id is the slug of a title."""
+    if node.tag in HEADINGS:
+        return bool(node.slug)
+    titled = node.tag == "section" or node.tag == "div" and any(isinstance(x, Node) and x.tag in HEADINGS for x in node.parts)
+    return titled and not node.slug <= PAGE_PARTS
+
+
+def _restore_chapters(root: Node, nodes: list[Node]) -> None:
+    """Chapters below the chosen nodes are not dropped."""
+    found, stack = False, list(nodes)
+    while stack:
+        node = stack.pop()
+        if node.dropped and _is_chapter(node):
+            node.dropped, found = False, True
+        if not node.dropped:
+            stack += [x for x in node.parts if isinstance(x, Node)]
+    if found:
+        _drop_headers(_measure(root))
+
+
 def main_nodes(root: Node) -> list[Node]:
     """The best container and its siblings that belong to it, in page order."""
     _drop_headers(_measure(root))
@@ -195,17 +229,33 @@ def main_nodes(root: Node) -> list[Node]:
         return [root] if root.length else []
     points = {id(n): n.score * (1.0 - _density(n)) for n in scored}
     best = max(scored, key=lambda n: points[id(n)])
+    while best.parent is not None and id(best.parent) in points and best.parent.tag != "body":
+        if not any(isinstance(x, Node) and x is not best and points.get(id(x), 0.0) >= ALIKE * points[id(best)] for x in best.parent.parts):
+            break
+        best = best.parent
     if best.parent is None:
         return [best]
-    bar = max(10.0, 0.2 * points[id(best)])
-    out = []
-    for x in best.parent.parts:
-        if not isinstance(x, Node) or x.dropped:
+    bar = BAR * points[id(best)]
+    siblings = [x for x in best.parent.parts if isinstance(x, Node)]
+    out, before = [], False  # in reverse; whether what follows is kept
+    for x in reversed(siblings):
+        if x.tag in HEADINGS and (not x.dropped or x.slug):
+            if before:
+                out.append(x)
+            continue
+        if x.dropped:
+            before &= x.tag != "nav"
             continue
         alike = x.tag == best.tag and x.names and x.names == best.names
         reads = x.tag == "p" and x.length > 80 and _density(x) < 0.25
-        if x is best or reads or best.tag != "body" and points.get(id(x), 0.0) + (0.2 * points[id(best)] if alike else 0.0) >= bar:
+        has = points.get(id(x), 0.0)
+        if x is best or reads or best.tag != "body" and has > 0 and has + (bar if alike else 0.0) >= bar:
             out.append(x)
+            before = True
+        elif x.tag in BLOCKS:
+            before = False
+    out.reverse()
+    _restore_chapters(root, out)
     return out
 
 

@@ -250,6 +250,23 @@ def test_html_main_text():
     ]
 
 
+def test_html_keeps_all_sections():
+    one, two, three = ("".join(c * 9 + " " for _ in range(n)).strip() for c, n in zip("abc", (35, 29, 12)))
+    sections = f"<h1>Title</h1><section><p>{one}</p></section><section><p>{two}</p></section>"
+    menu = '<nav><a href="/">Home</a></nav><div class="ad">Buy</div>'
+    assert html_extract.extract(f"<body>{menu}<div>{sections}</div></body>").split("\n") == ["Title", one, two]
+    assert html_extract.extract(f"<body><h1>Site</h1>{menu}{sections}</body>").split("\n") == ["Title", one, two]
+    assert html_extract.extract(f"<body><div><section><p>{one}</p></section><h2>Short</h2><section><p>{three}</p></section></div></body>").split("\n") == [one, "Short", three]
+
+
+def test_html_keeps_chapters_named_by_their_title():
+    page = f"""<article><h1>A</h1><p>{"word " * 40}</p><section id="related-work"><h2>Related work</h2><p>Others, too.</p></section>
+<h2 id="social-impact">Social impact</h2><p>Some.</p><section id="discussion"><p>Results mean this.</p></section>
+<section id="related-posts"><p>Read on</p></section><section id="comments"><p>First!</p></section><section class="share"><p>Post it</p></section>
+<div id="ad-slot"><p>Buy</p></div></article><section id="related-stories"><p>More</p></section>"""
+    assert html_extract.extract(page).split("\n")[2:] == ["Related work", "Others, too.", "Social impact", "Some.", "Results mean this."]
+
+
 def test_html_broken_pages(spark):
     assert html_extract.extract(None) == html_extract.extract("") == html_extract.extract("<<<>>> <") .replace("<", "").replace(">", "").strip()
     assert html_extract.extract("plain text only") == "plain text only"
