@@ -179,6 +179,10 @@ def _bitmap(parts: DataFrame, bits: int, part_bits: int) -> Bitmap:
     return Bitmap(bits, part_bits, data)
 
 
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    return np.frombuffer(b"".join(xxh128_digest(s.tobytes()) for s in sets), dtype="<i8").reshape(-1, 2)
+
+
 def _summaries(documents: DataFrame, rule: Rule, bits: int, part_bits: int) -> DataFrame:
     """A row for each document (its set's size and digest); for each task, its counts of tokens by sketch block and, by
     part, the tokens that come first in each document by hash, twice as many as a prefix holds."""
@@ -203,7 +207,7 @@ def _summaries(documents: DataFrame, rule: Rule, bits: int, part_bits: int) -> D
                         parts.add(_least(s, _order_hash(s, 0), 2 * rule.prefix(len(s))))
                 if parts.size > PART_TOKENS:
                     yield extra("part", *parts.packed())
-                digests = np.frombuffer(b"".join(xxh128_digest(s.tobytes()) for s in sets), dtype="<i8").reshape(-1, 2)
+                digests = _digests(sets)
                 n = len(sets)
                 columns = [ids.slice(at, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1])]
                 yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(n, pa.int32())] * 2, pa.nulls(n, pa.binary())], schema=schema)
@@ -235,18 +239,19 @@ def _orders(summaries: DataFrame, bits: int, map_bits: int, part_bits: int) -> T
 
 
 def _prefixes(documents: DataFrame, rule: Rule, shared) -> DataFrame:
-    """``rep, size, prefix``: each document's prefix tokens under the generating order."""
-    schema = pa.schema([("rep", pa.int64()), ("size", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+    """``rep, size, prefix, d1, d2``: each document's prefix tokens under the generating order, and its set's digest."""
+    schema = pa.schema([("rep", pa.int64()), ("size", pa.int32()), ("prefix", pa.list_(pa.int64())), ("d1", pa.int64()), ("d2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 sets = [shingle_set(t, rule.width) for t in batch.column(1).slice(at, 512).to_pylist()]
                 prefixes = [shared.value.prefix(s, 0, rule.prefix(len(s))).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
+                digests = _digests(sets)
                 columns = [batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int32()), pa.array(prefixes, type=schema.field(2).type)]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(digests[:, 0]), pa.array(digests[:, 1])], schema=schema)
 
-    return documents.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "rep long, size int, prefix array<long>")
+    return documents.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "rep long, size int, prefix array<long>, d1 long, d2 long")
 
 
 def _in_groups(prefixes: DataFrame, map_bits: int, part_bits: int) -> DataFrame:
@@ -283,7 +288,7 @@ def _in_groups(prefixes: DataFrame, map_bits: int, part_bits: int) -> DataFrame:
     return prefixes.select("rep", "size", "prefix").mapInArrow(keep, "token long, rep long, size int, pos int")
 
 
-def _only(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+def _only(rows: DataFrame, ids: DataFrame, key: str | list[str], how: str) -> DataFrame:
     """Semi or anti join with distinct ids: a broadcast while these are few, by their count, else Spark's own choice."""
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
@@ -453,10 +458,10 @@ def jaccard_components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     rows = summaries.where("block IS NULL AND part IS NULL").select("doc_id", "n_shingles", "d1", "d2")
     linkable = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    copies = durable(linkable.join(classes, ["d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    copies = durable(linkable.join(classes, ["d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), "d1", "d2"))
 
-    others = copies.select(F.col("a").alias("rep")).distinct()
-    prefixes = durable(_only(_prefixes(documents, rule, shared).where("rep IS NOT NULL AND size > 0"), others, "rep", "left_anti"))
+    others = copies.select(F.col("a").alias("rep"), "d1", "d2").distinct()  # by row: an id may have other texts besides
+    prefixes = durable(_only(_prefixes(documents, rule, shared).where("rep IS NOT NULL AND size > 0"), others, ["rep", "d1", "d2"], "left_anti").drop("d1", "d2"))
     postings = _in_groups(prefixes, map_bits, part_bits).withColumn("room", rule.room())
     by_size = W.partitionBy("token").orderBy("size", "rep")
     beside = F.lag("rep").over(by_size).isNotNull() | F.lead("rep").over(by_size).isNotNull()
@@ -481,7 +486,7 @@ def jaccard_components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     if not groups.isEmpty():
         links = links.unionByName(_remaining(groups, labels, sets, rule))
     release(spark)
-    final = durable(connected_components(links.unionByName(copies)).distinct())
+    final = durable(connected_components(links.unionByName(copies.select("a", "b"))).distinct())
     joined = rows.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 

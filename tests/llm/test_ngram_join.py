@@ -61,6 +61,15 @@ def test_full_comparison_of_what_chains_leave(spark, monkeypatch):
     assert sorted(map(tuple, jaccard_components(df, Rule(3, 90)).collect()), key=repr) == brute(rows, Rule(3, 90))
 
 
+def test_copies_of_ids_with_several_texts(spark):
+    r = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(300)]
+    a, b = (" ".join(r.choice(vocabulary) for _ in range(80)) for _ in range(2))
+    rows = [(3, a), (5, a), (5, b), (7, f"{b} more"), (9, a), (9, "none of it is like the others")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_components(df, Rule(3, 90)).collect()), key=repr) == brute(rows, Rule(3, 90))
+
+
 def test_one_of_each(spark):
     rows = [(1, "a b c d e f"), (2, "A b c d e f"), (3, ""), (4, None), (5, "other words stand here now")]
     df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, n_chars long")
