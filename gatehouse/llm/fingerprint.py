@@ -106,6 +106,18 @@ class PrefixHashes:
             low, high = (middle, high) if self.equal(i, other, j, middle) else (low, middle - 1)
         return low
 
+    def ending(self, i: int, other: PrefixHashes, j: int) -> int:
+        """Length of the longest common extension backwards from our position i and the other's j."""
+        low, high = 0, min(i, j)
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if self.equal(i - middle, other, j - middle, middle) else (low, middle - 1)
+        return low
+
+    def shared(self, other: PrefixHashes) -> tuple[int, int]:
+        """Exact lengths of the common prefix and the common suffix. They may overlap."""
+        return self.extension(0, other, 0), self.ending(len(self), other, len(other))
+
 
 @dataclass(frozen=True)
 class Fingerprint:
@@ -210,6 +222,9 @@ def edited_text(text: str, successor: str) -> str:
 def fingerprint_documents(documents: DataFrame) -> DataFrame:
     """Fingerprints of every document and of its edit, and how like they are to it and to the next document.
 
+    The likenesses are by fingerprints alone, so their shared lengths are steps of the ladder; the exact lengths of the common
+    prefix and suffix, from the whole arrays, are columns of their own.
+
     Null texts count as empty; an empty text's fingerprint says so and is like another empty one only. Equal ids
     are ordered by text; a null id counts as the lowest and is returned as null. A single document is its
     own successor. Other columns are ignored.
@@ -217,6 +232,7 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
     schema = pa.schema([
         ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
         ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
+        ("prefix_edited", pa.int64()), ("suffix_edited", pa.int64()), ("prefix_next", pa.int64()), ("suffix_next", pa.int64()),
     ])
     lowest = -(1 << 63)
 
@@ -232,14 +248,17 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
                 mark = Fingerprint.of(hashes)
                 if last is not None:
                     half = len(last[1]) // 2
-                    edit = Fingerprint.of(last[2].joined(len(last[1]) - half, hashes, min(half, len(text))))
+                    joined = last[2].joined(len(last[1]) - half, hashes, min(half, len(text)))
+                    edit = Fingerprint.of(joined)
                     out.append((
                         None if last[0] == lowest else last[0], len(last[1]), sha256_hex(edited_text(last[1], text).encode()),
                         str(last[3]), str(edit), likeness(last[3], edit), likeness(last[3], mark),
+                        *last[2].shared(joined), *last[2].shared(hashes),
                     ))
                 last, ended = (key, text, hashes, mark), extra
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     ddl = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    ddl += ", prefix_edited long, suffix_edited long, prefix_next long, suffix_next long"
     return with_successors(documents).mapInArrow(run, ddl)

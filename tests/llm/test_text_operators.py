@@ -163,6 +163,20 @@ def test_fingerprint_table(spark):
     assert single[0].near_next == 1.0 and fingerprint.fingerprint_documents(documents(spark, [])).count() == 0
 
 
+def test_shared_lengths_are_exact(spark):
+    def common(a, b):
+        return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    base = "".join(random_texts(list("abcdefgh "), 1, 4000, seed=9))[:190].ljust(190, "z")
+    rows = [(1, base), (2, base[:95] + "#" * 95), (3, "!" * 40 + base[-101:]), (4, ""), (5, WEIRD[6]), (6, WEIRD[6][:777])]
+    got = {r.doc_id: r for r in fingerprint.fingerprint_documents(documents(spark, rows)).collect()}
+    for (i, a), (_, b) in zip(rows, rows[1:] + rows[:1]):
+        edit = fingerprint.edited_text(a, b)
+        want = [common(a, edit), common(a[::-1], edit[::-1]), common(a, b), common(a[::-1], b[::-1])]
+        assert [got[i].prefix_edited, got[i].suffix_edited, got[i].prefix_next, got[i].suffix_next] == want
+    assert got[1].prefix_next == 95
+
+
 # -- packing
 
 
