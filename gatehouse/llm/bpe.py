@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import TOKENIZER_DIR, map_rows, sha256_hex, text_or_empty
+from .common import map_rows, sha256_hex, text_or_empty, vocabulary
 
-BYTE_BPE = f"{TOKENIZER_DIR}/byte_bpe_50k.json"
+BYTE_BPE = vocabulary("byte_bpe_50k.json")
 #: Fragments remembered per worker; a full memory is emptied, which costs time and never results.
 CACHE_FRAGMENTS = 600_000
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one worker per core already

@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Tokenizer
 
-from .common import TOKENIZER_DIR, shuffle_partitions
+from .common import shuffle_partitions, vocabulary
 
-CHAT_BPE = f"{TOKENIZER_DIR}/byte_bpe_50k.json"
+CHAT_BPE = vocabulary("byte_bpe_50k.json")
 #: The marks of each role; any other role is named between the marks of ``OTHER``.
 MARKS = {"user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>"), "system": ("[SYS]", "[/SYS]")}
 OTHER = ("[ROLE]", "[/ROLE]", "[/TEXT]")

@@ -3,20 +3,36 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where the public vocabulary files lie unless a caller says otherwise.
-TOKENIZER_DIR = "/opt/tokenizers"
+#: Bytes of rows that Spark hands a Python worker at a time, unless the session says otherwise: some texts are very long.
+BATCH_BYTES, _BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Keys that hold more than one row in so many are joined by broadcast: there are fewer of them than this.
+HOT_SHARE = 1024
+
+
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file lies, unless a caller brings a path of their own."""
+    return public_tokenizers.path(name)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of ten thousand long texts would fill a worker: bound their bytes where the session has not set a bound of its own."""
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's own setting: operators follow the cluster and never fix a count."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -33,7 +49,8 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[dict], list], rows_per_ba
     a few hundred texts and their results at a time however large the partition is.
     """
     names = [field.split()[0] for field in schema.split(", ")]
-    target = spark_arrow_schema(df.sparkSession, schema)
+    target = spark_arrow_schema(schema)
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,7 +63,7 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[dict], list], rows_per_ba
     return df.mapInArrow(run, schema)
 
 
-def spark_arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
+def spark_arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow form of a flat DDL string."""
     kinds = {
         "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(),
@@ -55,31 +72,67 @@ def spark_arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return pa.schema([pa.field(*((p := field.split())[0], kinds[p[1]])) for field in ddl.split(", ")])
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of this program's own only where none is named."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one that spark.checkpoint.dir names, else the one that the context was given,
+    else, where neither is set, as in tests, one in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        import tempfile
+    if named is None and (given := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        named = given.get()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/gatehouse-scratch"
 
-        named = f"file://{tempfile.mkdtemp(prefix='gatehouse-checkpoint-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
 
+class Scratch:
+    """Tables written to the shared folder and read again, which cuts their lineage: a lost executor costs no recomputation.
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished rounds: it does so only for what the driver has collected as garbage."""
-    import gc
+    ``drop`` deletes what no later step reads; what is left goes when the session's JVM ends.
+    """
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.root, self._n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+        bound_batches(spark)
+        path, fs = self._hadoop(self.root)
+        fs.deleteOnExit(path)
+
+    def _hadoop(self, name: str):
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(context._jsc.hadoopConfiguration())
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self._n += 1
+        path = f"{self.root}/{self._n}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            _, name = self._paths.pop(id(table), (None, None))
+            if name is not None:
+                path, fs = self._hadoop(name)
+                fs.delete(path, True)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        kept = {id(t) for t in tables}
+        self.drop(*[t for k, (t, _) in list(self._paths.items()) if k not in kept])
+
+    def clear(self) -> None:
+        path, fs = self._hadoop(self.root)
+        fs.delete(path, True)
+        self._paths.clear()
+
+
+def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join with a table that holds one row for each key and in ``weight`` how many of the ``total`` rows have it.
+
+    A hot key would be one task of a shuffled join. Keys with more than a ``HOT_SHARE``th of all rows are fewer than
+    ``HOT_SHARE``, so these are broadcast; the others are shuffled.
+    """
+    hot = table.where(F.col(weight) * HOT_SHARE > total)
+    rest = table.where(F.col(weight) * HOT_SHARE <= total)
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys))
 
 
 def text_or_empty(name: str = "text"):

@@ -1,13 +1,15 @@
 """Exact n-gram Jaccard join and its connected components, filtered under several global token orders.
 
-If two sets reach the threshold, the beginnings (prefixes) of both share a token under every order of all
-tokens. Orders here put rare tokens first, by counts over the whole corpus, and break ties by different hashes: the
-first order generates candidates and the others must agree before a pair is verified.
-
-Equal sets are one node. Inside a large group of near copies pairs are never enumerated: rounds of chains
-(each member of a token's group with its neighbour in one common order) join most of it, components are contracted,
-and what is left is compared component against component in packed blocks, so no link between different
-sets is lost.
+If two sets reach the threshold, the beginnings (prefixes) of both share a token under every order of all tokens.
+The first order puts rare tokens first, by counts over the whole corpus. Two documents are near when they share a prefix
+token under it and neither their sizes nor their marks (how many of their tokens fall into each of a few
+buckets) rule a link out; documents that nearness connects, however indirectly, form a family, and every link lies inside
+one. Families are metadata, so a set moves only once, to its family's cell. There a pair must share a prefix token
+under the other orders too, and only what passes all of them is verified.
+
+Equal sets are one node. A family that is too large for a cell is dealt into blocks of bounded size: each block links its own
+members, what is linked becomes one component, and then only blocks that hold different components meet. Pairs
+inside a component are never compared, pairs are never rows, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -19,26 +21,31 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh128_digest
 
-from .common import durable, release, shuffle_partitions
+from .common import HOT_SHARE, Scratch, join_spread, shuffle_partitions
 
 #: Multipliers that break ties in each global order; the first order generates, the others filter.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+#: Bits of a frequency class that each order looks at: finely, coarsely, not at all.
+CLASS_SHIFT = (0, 3, 6)
 #: Counters of the frequency sketch, as powers of two: about one for each document within these bounds.
 SKETCH_BITS = (14, 24)
 SKETCH_BLOCK = 4096
-#: Rounds of chains before the rest is compared in full, and tokens in a packed block.
-CHAIN_ROUNDS, BLOCK_TOKENS = 3, 40_000
-#: Bits of the bitmaps, as powers of two; tokens that a task holds for them; ids that are broadcast at most (8 MB).
-MAP_BITS, PART_TOKENS, BROADCAST_IDS = (20, 28), 4_000_000, 1_000_000
+#: Sets, and tokens in them, that one side of a cell holds: beyond either, a family is dealt into blocks.
+CELL_SETS, CELL_TOKENS = 512, 1 << 19
+#: Buckets of a document's marks: tokens counted by hash, 255 at most in each.
+MARKS = 128
+#: Links that one task joins at most, tokens that it remembers at once, and matrix cells in a tile.
+TASK_LINKS, TASK_TOKENS, TILE_CELLS = 250_000, 500_000, 1 << 22
+#: Bits of the bitmaps and of their parts, as powers of two; tokens that a task holds for them; ids that are broadcast at most (8 MB).
+MAP_BITS, PART_BITS, PART_TOKENS, BROADCAST_IDS = (20, 28), (4, 18), 1_000_000, 1_000_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)  # one fixed table everywhere
-_BASE = 0x9E3779B97F4A7C15
+_BASE, KEPT_POWERS = 0x9E3779B97F4A7C15, 1 << 20
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -56,6 +63,8 @@ def _word_hashes(raw: bytes) -> np.ndarray:
     np.cumsum(_BYTE[code] * _POWERS["up"][:n], out=sums[1:])
     out = (sums[ends] - sums[starts]) * _POWERS["down"][starts]
     out ^= out >> np.uint64(32)
+    if len(_POWERS["up"]) > KEPT_POWERS:  # one very long text must not fill the worker for good
+        _POWERS.update({name: x[:KEPT_POWERS].copy() for name, x in _POWERS.items()})
     return out * np.uint64(ORDERS[2])
 
 
@@ -85,11 +94,6 @@ class Rule:
     def prefix(self, size: int) -> int:
         return size - -(-self.percent * size // 100) + 1
 
-    def room(self) -> F.Column:
-        """By a document's ``size`` and the ``pos`` of a token: what another's size times ``percent`` must not exceed, if that
-        token is the first that the two share, for all that stands before it in the order is not shared."""
-        return (100 + self.percent) * (F.col("size") - F.col("pos")).cast("long") - self.percent * F.col("size")
-
     def links(self, common, a, b):
         return (100 + self.percent) * common >= self.percent * (a + b)
 
@@ -115,15 +119,15 @@ class Bitmap:
 
 @dataclass(frozen=True)
 class TokenOrders:
-    """Global orders of all tokens: those that no other document is known to hold first, then by class of frequency,
-    then by a hash of the order's own. Any fixed function of the token gives an order; this one keeps groups small."""
+    """Global orders of all tokens: those that no other document is known to hold first, then by class of frequency as finely as
+    the order looks at it, then by a hash of the order's own. Any fixed function of the token gives an order; these keep families small."""
 
     bits: int
     classes: np.ndarray
     repeated: Bitmap
 
     def keys(self, tokens: np.ndarray, which: int) -> np.ndarray:
-        classes = self.classes[tokens >> np.uint64(64 - self.bits)].astype(np.uint64) << np.uint64(57)
+        classes = (self.classes[tokens >> np.uint64(64 - self.bits)] >> CLASS_SHIFT[which]).astype(np.uint64) << np.uint64(57)
         return (self.repeated.holds(tokens).astype(np.uint64) << np.uint64(63)) | classes | (_order_hash(tokens, which) >> np.uint64(7))
 
     def prefix(self, tokens: np.ndarray, which: int, n: int) -> np.ndarray:
@@ -154,8 +158,11 @@ class _Parts:
         self.size += len(tokens)
 
     def packed(self) -> tuple[list[int], list[bytes]]:
+        """Of a token that is here more than twice two copies say as much."""
         rows = np.sort(np.concatenate(self.held)) if self.size else np.zeros(0, np.uint64)
         self.held, self.size = [], 0
+        if len(rows) > 2:
+            rows = rows[np.concatenate([[True, True], rows[2:] != rows[:-2]])]
         part = (rows >> np.uint64(32)).astype(np.int64)
         edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(rows)]]) if len(rows) else np.zeros(1, np.int64)
         low = rows.astype(np.uint32)
@@ -218,7 +225,7 @@ def _summaries(documents: DataFrame, rule: Rule, bits: int, part_bits: int) -> D
         if parts.size:
             yield extra("part", *parts.packed())
 
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    source = documents.select("rep", F.coalesce("text", F.lit("")).alias("text"))
     return source.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, block int, part int, packed binary")
 
 
@@ -239,8 +246,8 @@ def _orders(summaries: DataFrame, bits: int, map_bits: int, part_bits: int) -> T
 
 
 def _prefixes(documents: DataFrame, rule: Rule, shared) -> DataFrame:
-    """``rep, size, prefix, d1, d2``: each document's prefix tokens under the generating order, and its set's digest."""
-    schema = pa.schema([("rep", pa.int64()), ("size", pa.int32()), ("prefix", pa.list_(pa.int64())), ("d1", pa.int64()), ("d2", pa.int64())])
+    """``rep, size, marks, prefix, d1, d2``: each document's marks, prefix tokens under the generating order, and its set's digest."""
+    schema = pa.schema([("rep", pa.int64()), ("size", pa.int32()), ("marks", pa.binary()), ("prefix", pa.list_(pa.int64())), ("d1", pa.int64()), ("d2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,15 +255,16 @@ def _prefixes(documents: DataFrame, rule: Rule, shared) -> DataFrame:
                 sets = [shingle_set(t, rule.width) for t in batch.column(1).slice(at, 512).to_pylist()]
                 prefixes = [shared.value.prefix(s, 0, rule.prefix(len(s))).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
                 digests = _digests(sets)
-                columns = [batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int32()), pa.array(prefixes, type=schema.field(2).type)]
+                marks = [np.minimum(np.bincount((s >> np.uint64(5)).astype(np.int64) % MARKS, minlength=MARKS), 255).astype(np.uint8).tobytes() for s in sets]
+                columns = [batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int32()), pa.array(marks, pa.binary()), pa.array(prefixes, type=schema.field(3).type)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(digests[:, 0]), pa.array(digests[:, 1])], schema=schema)
 
-    return documents.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "rep long, size int, prefix array<long>, d1 long, d2 long")
+    return documents.select("rep", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "rep long, size int, marks binary, prefix array<long>, d1 long, d2 long")
 
 
-def _in_groups(prefixes: DataFrame, map_bits: int, part_bits: int) -> DataFrame:
-    """``token, rep, size, pos``: the prefix tokens that more than one document may share, with their place in the order;
-    the others go before any shuffle."""
+def _in_several(prefixes: DataFrame, map_bits: int, part_bits: int) -> DataFrame:
+    """``rep, size, marks, tokens``: the prefix tokens that more than one document may share, of documents that have any; the
+    others go before any shuffle."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = _Parts(part_bits)
@@ -279,251 +287,425 @@ def _in_groups(prefixes: DataFrame, map_bits: int, part_bits: int) -> DataFrame:
             lists = batch.column("prefix")
             tokens = lists.flatten().to_numpy(zero_copy_only=False)
             offsets = lists.offsets.to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            rows = np.flatnonzero(repeated.value.holds(tokens.view(np.uint64)))
-            reps, sizes = (batch.column(c).to_numpy(zero_copy_only=False)[owner[rows]] for c in ("rep", "size"))
-            places = (rows - (offsets - offsets[0])[owner[rows]]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[rows]), pa.array(reps), pa.array(sizes), pa.array(places)], names=["token", "rep", "size", "pos"])
-
-    return prefixes.select("rep", "size", "prefix").mapInArrow(keep, "token long, rep long, size int, pos int")
-
-
-def _only(rows: DataFrame, ids: DataFrame, key: str | list[str], how: str) -> DataFrame:
-    """Semi or anti join with distinct ids: a broadcast while these are few, by their count, else Spark's own choice."""
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+            held = repeated.value.holds(tokens.view(np.uint64))
+            ends = np.concatenate([[0], np.cumsum(held)])[offsets - offsets[0]]
+            rows = np.flatnonzero(np.diff(ends))
+            chosen = pa.ListArray.from_arrays(pa.array(np.concatenate([ends[rows], ends[-1:]]).astype(np.int32)), pa.array(tokens[held]))
+            columns = [batch.column(c).take(pa.array(rows)) for c in ("rep", "size", "marks")]
+            yield pa.RecordBatch.from_arrays([*columns, chosen], names=["rep", "size", "marks", "tokens"])
 
+    return prefixes.select("rep", "size", "marks", "prefix").mapInArrow(keep, "rep long, size int, marks binary, tokens array<long>")
 
-def _sets(documents: DataFrame, rule: Rule, shared) -> DataFrame:
-    """``rep, tokens, filters``: whole sets, ascending, and their prefixes under each order cut to 32 bits, ascending."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                sets = [shingle_set(t, rule.width) for t in batch.column(1).slice(at, 512).to_pylist()]
-                packed = [s.astype("<u8").tobytes() for s in sets]
-                filters = [b"".join(np.sort(shared.value.prefix(s, k, rule.prefix(len(s))).astype("<u4")).tobytes() for k in range(len(ORDERS))) for s in sets]
-                cells = [batch.column(0).slice(at, len(packed)), pa.array(packed, pa.binary()), pa.array(filters, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cells, names=["rep", "tokens", "filters"])
-
-    source = documents.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
-    return source.mapInArrow(run, "rep long, tokens binary, filters binary")
-
-
-class _Block:
-    """Several sets with their prefixes, for tests of one set against all of them."""
-
-    def __init__(self, packed: list[bytes], filters: list[bytes], rule: Rule) -> None:
-        self.rule = rule
-        self.sets = [np.frombuffer(x, dtype="<u8") for x in packed]
-        self.sizes = np.array([len(s) for s in self.sets])
-        self._owner = np.repeat(np.arange(len(filters)), [len(f) // (4 * len(ORDERS)) for f in filters])
-        apart = [_by_order(f) for f in filters]
-        self._prefixes = [np.concatenate([f[k] for f in apart]) for k in range(len(ORDERS))]
-
-    def links(self, packed: bytes, filters: bytes) -> np.ndarray:
-        """Positions of the sets that the set links with: filters under all orders first, then exact counts."""
-        tokens = np.frombuffer(packed, dtype="<u8")
-        small, large = np.minimum(self.sizes, len(tokens)), np.maximum(self.sizes, len(tokens))
-        left = 100 * small >= self.rule.percent * large
-        for own, theirs in zip(_by_order(filters), self._prefixes):
-            if not left.any():
-                return np.zeros(0, np.int64)
-            hit = np.zeros(len(self.sets), bool)
-            hit[self._owner[_within(theirs, own)]] = True
-            left &= hit
-        chosen = np.flatnonzero(left)
-        common = np.array([_within(self.sets[c], tokens).sum() for c in chosen], dtype=np.int64)
-        return chosen[self.rule.links(common, self.sizes[chosen], len(tokens))] if len(chosen) else chosen
-
-
-def _by_order(filters: bytes) -> np.ndarray:
-    """A row for each order: the prefix under it, ascending."""
-    return np.frombuffer(filters, dtype="<u4").reshape(len(ORDERS), -1)
-
-
-def _within(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
-    if not len(ascending):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(ascending, values)
-    at[at == len(ascending)] = 0
-    return ascending[at] == values
-
-
-def _verify_pairs(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs ``a, b`` that link."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = (batch.column(k).to_pylist() for k in range(2, 6))
-            keep = [bool(len(_Block([q], [g], rule).links(p, f))) for p, f, q, g in zip(*cells)]
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["a", "b"])
+class _Forest:
+    """Unions of anything hashable; the smallest is the root."""
 
-    pairs = durable(pairs)
-    left = _only(sets, pairs.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("a"), F.col("tokens").alias("x"), F.col("filters").alias("fx"))
-    right = _only(sets, pairs.select(F.col("b").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("b"), F.col("tokens").alias("y"), F.col("filters").alias("fy"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "fx", "y", "fy").mapInArrow(run, "a long, b long")
+    def __init__(self) -> None:
+        self.parent: dict = {}
 
+    def find(self, x):
+        top = x
+        while self.parent.setdefault(top, top) != top:
+            top = self.parent[top]
+        while self.parent[x] != top:
+            self.parent[x], x = top, self.parent[x]
+        return top
 
-def _packed(rows: DataFrame, key: str) -> DataFrame:
-    """Sets of each key in blocks of about BLOCK_TOKENS tokens: ``key, block, reps, sets``."""
-    ahead = W.partitionBy(key).orderBy("rep").rowsBetween(W.unboundedPreceding, -1)
-    at = F.coalesce(F.sum(F.octet_length("tokens")).over(ahead), F.lit(0))
-    blocked = rows.withColumn("block", F.floor(at / (8 * BLOCK_TOKENS)))
-    return blocked.groupBy(key, "block").agg(F.collect_list(F.struct("rep", "tokens", "filters")).alias("held"))
+    def join(self, a, b) -> bool:
+        """Whether this joined what was apart."""
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.parent[max(a, b)] = min(a, b)
+        return True
 
+    def stars(self, roots: bool = False) -> list[tuple]:
+        return [(x, r) for x in self.parent if (r := self.find(x)) != x or roots]
 
-def _verify_components(pairs: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Links between the components of each pair ``large, small``: every set of the one against every set of the other."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            for small, large in zip(batch.column(0), batch.column(1)):
-                large = large.as_py()
-                block = _Block([h["tokens"] for h in large], [h["filters"] for h in large], rule)
-                for h in small.as_py():
-                    for k in block.links(h["tokens"], h["filters"]):
-                        found.append((h["rep"], large[k]["rep"]))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
-
-    wanted = durable(pairs.select(F.explode(F.array("large", "small")).alias("component")).distinct())
-    mine = durable(members.join(wanted, "component", "left_semi"))
-    own = mine.join(_only(sets, mine.select("rep").distinct(), "rep", "left_semi"), "rep")  # component, rep, tokens
-    smalls = _packed(pairs.join(own, pairs["small"] == own["component"]).select("large", "rep", "tokens", "filters"), "large")
-    larges = _packed(own.join(pairs.select(F.col("large").alias("component")).distinct(), "component", "left_semi"), "component")
-    both = smalls.select("large", F.col("held").alias("s")).join(larges.select(F.col("component").alias("large"), F.col("held").alias("l")), "large")
-    return both.select("s", "l").mapInArrow(run, "a long, b long")
-
-
-def _local_stars(edges: DataFrame) -> DataFrame:
-    """Each task joins the edges it holds: ``node, root`` with the smallest node of each local component."""
+def _local_stars(edges: DataFrame, roots: bool = False) -> DataFrame:
+    """Each task joins the edges it holds: ``node, root`` with the smallest node of each local component, itself included with ``roots``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            top = x
-            while parent.setdefault(top, top) != top:
-                top = parent[top]
-            while parent[x] != top:
-                parent[x], x = top, parent[x]
-            return top
-
+        forest = _Forest()
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                a, b = find(a), find(b)
-                parent[max(a, b)] = min(a, b)
-        rows = [(x, r) for x in parent if (r := find(x)) != x]
+                forest.join(a, b)
+        rows = forest.stars(roots)
         for at in range(0, len(rows), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at : at + 50_000])], names=["node", "root"])
 
     return edges.mapInArrow(run, "node long, root long")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for every node of the edges ``a, b`` that is not its component's smallest.
+def connected_components(edges: DataFrame, scratch: Scratch, roots: bool = False) -> DataFrame:
+    """``node, root`` for every node of the edges ``a, b`` that is not its component's smallest; with ``roots``, for that too.
 
-    Local unions, then rounds of minimum roots and pointer jumping, until every node has one root that is nobody's
-    node. Nothing is collected; the lineage is cut in every round.
+    Each task joins about ``TASK_LINKS`` edges; links that fit one task are done at once. Else rounds of minimum roots
+    and pointer jumping follow, until every node has one root that is nobody's node. Nothing is collected; every
+    round is written and the one before it deleted.
     """
-    stars = durable(_local_stars(edges.select("a", "b")).distinct())
-    while True:
+
+    def dealt(links: DataFrame) -> tuple[DataFrame, int]:
+        tasks = -(-links.count() // TASK_LINKS)
+        return (links.coalesce(tasks) if tasks else links), tasks
+
+    links, tasks = dealt(edges.select("a", "b"))
+    stars = scratch.keep(_local_stars(links, roots and tasks <= 1))
+    while tasks > 1:
+        stars = stars.distinct()
         least = stars.groupBy("node").agg(F.min("root").alias("least"), F.count("*").alias("n"))
         up = least.select(F.col("node").alias("least"), F.col("least").alias("above"))
-        marked = durable(stars.join(least, "node").join(up, "least", "left"))
+        marked = scratch.keep(stars.join(least, "node").join(up, "least", "left"))
         if marked.where("n > 1 OR above IS NOT NULL").isEmpty():
-            return marked.select("node", "root")
-        release(edges.sparkSession)
+            done = marked.select("node", "root")
+            return scratch.keep(done.unionByName(done.select(F.col("root").alias("node"), "root").distinct()) if roots else done)
         best = F.coalesce("above", "least")
         nodes = marked.select(F.col("node").alias("a"), best.alias("b"))
         roots = marked.where(F.col("root") != best).select(F.col("root").alias("a"), best.alias("b"))
         middle = marked.where(F.col("above").isNotNull() & (F.col("least") != F.col("above"))).select(F.col("least").alias("a"), F.col("above").alias("b"))
-        stars = durable(_local_stars(nodes.unionByName(roots).unionByName(middle).distinct()).distinct())
+        again = scratch.keep(nodes.unionByName(roots).unionByName(middle).distinct())
+        links, tasks = dealt(again)
+        stars = scratch.keep(_local_stars(links, roots and tasks <= 1))
+        scratch.drop(marked, again)
+    return stars
+
+
+def _family_edges(held: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges ``a, b`` that connect the ``rep`` that share one of their ``tokens``, however indirectly.
+
+    Each task first joins what it holds, so a token that very many share is one row of each task from there on.
+    """
+    schema = pa.schema([("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def out(token: list, a: list, b: list) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(a), 50_000):
+            cells = (token[at : at + 50_000], a[at : at + 50_000], b[at : at + 50_000])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cells], schema=schema)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, seen = _Forest(), {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            yield from out(list(seen), [forest.find(r) for r in seen.values()], [None] * len(seen))
+            stars = forest.stars()
+            yield from out([None] * len(stars), [x for x, _ in stars], [r for _, r in stars])
+
+        for batch in batches:
+            for rep, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for token in tokens:
+                    first = seen.setdefault(token, rep)
+                    if first != rep:
+                        forest.join(first, rep)
+            if len(seen) > TASK_TOKENS:
+                yield from flush()
+                forest, seen = _Forest(), {}
+        yield from flush()
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, last, first = _Forest(), None, None
+        for batch in batches:
+            for token, rep in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if token != last:
+                    last, first = token, rep
+                elif rep != first:
+                    forest.join(first, rep)
+        stars = forest.stars()
+        yield from out([None] * len(stars), [x for x, _ in stars], [r for _, r in stars])
+
+    local = scratch.keep(held.select("rep", "tokens").mapInArrow(near, "token long, a long, b long"))
+    met = local.where("token IS NOT NULL").select("token", "a").repartition(shuffle_partitions(held.sparkSession), "token").sortWithinPartitions("token")
+    edges = scratch.keep(met.mapInArrow(far, "token long, a long, b long").unionByName(local.where("token IS NULL")).select("a", "b"))
+    scratch.drop(local)
+    return edges
+
+
+def _members(held: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``held`` whose ``rep`` the edges connect with others, with their ``family``."""
+    stars = connected_components(edges, scratch, roots=True)
+    out = scratch.keep(held.join(stars.select(F.col("node").alias("rep"), F.col("root").alias("family")), "rep"))
+    scratch.drop(stars)
+    return out
 
 
-def jaccard_components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
+def _near_edges(postings: DataFrame, rule: Rule) -> DataFrame:
+    """Edges ``a, b`` that connect documents that share a token where sizes and marks allow a link, from ``token, rep, size, marks``.
+
+    A task holds ``CELL_SETS`` rows of a token at most; what more documents share connects all of them, which makes families larger and loses none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = _Forest()
+        ahead: tuple[np.ndarray, ...] = ()
+        common = None  # a token that very many share, and its first document
+
+        def connect(token: np.ndarray, rep: np.ndarray, size: np.ndarray, marks: np.ndarray) -> None:
+            for step in range(1, len(token)):
+                at = np.flatnonzero(token[step:] == token[:-step])
+                if not len(at):
+                    break
+                x, y = size[at], size[at + step]
+                at = at[100 * np.minimum(x, y) >= rule.percent * np.maximum(x, y)]
+                apart = np.abs(marks[at] - marks[at + step]).sum(axis=1, dtype=np.int64)
+                at = at[(100 + rule.percent) * apart <= (100 - rule.percent) * (size[at] + size[at + step])]
+                for a, b in zip(rep[at].tolist(), rep[at + step].tolist()):
+                    forest.join(a, b)
+
+        for batch in batches:
+            marks = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, MARKS).astype(np.int16)
+            rows = (*(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64), marks)
+            if common is not None:
+                n = int(np.searchsorted(rows[0], common[0], side="right"))
+                for b in rows[1][:n].tolist():
+                    forest.join(common[1], b)
+                rows = tuple(r[n:] for r in rows)
+                common = common if not len(rows[0]) else None
+            if ahead:
+                rows = tuple(np.concatenate(x) for x in zip(ahead, rows))
+                ahead = ()
+            if not len(rows[0]):
+                continue
+            last = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(rows[0])) + 1, [len(rows[0])]])
+            short = np.ones(len(rows[0]), bool)
+            for i, j in zip(starts[:-1], starts[1:]):
+                if j - i > CELL_SETS:
+                    short[i:j] = False
+                    for b in rows[1][i + 1 : j].tolist():
+                        forest.join(int(rows[1][i]), b)
+                    if i == last:
+                        common = (rows[0][i], int(rows[1][i]))
+            if common is None:
+                ahead = tuple(r[last:] for r in rows)
+                short[last:] = False
+            connect(*(r[short] for r in rows))
+        if ahead:
+            connect(*ahead)
+        stars = forest.stars()
+        for at in range(0, len(stars), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*stars[at : at + 50_000])], names=["a", "b"])
+
+    dealt = postings.select("token", "rep", "size", "marks").repartition(shuffle_partitions(postings.sparkSession), "token").sortWithinPartitions("token")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _families(held: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """``rep, size, family`` of the documents that are near others, directly or not.
+
+    Sharing any token comes first: it needs no sizes and no marks, and leaves out most documents. A token that more than a
+    ``HOT_SHARE``th of the postings hold connects all that hold it.
+    """
+    edges = _family_edges(held, scratch)
+    sharing = _members(held, edges, scratch)
+    postings = sharing.select(F.explode("tokens").alias("token"), "rep", "size", "marks")
+    total = postings.count()
+    hot = scratch.keep(postings.groupBy("token").count().where(F.col("count") * HOT_SHARE > max(total, HOT_SHARE * CELL_SETS)).select("token"))  # fewer than HOT_SHARE
+    rest = postings.join(F.broadcast(hot), "token", "left_anti")
+    common = _family_edges(postings.join(F.broadcast(hot), "token").select("rep", F.array("token").alias("tokens")), scratch)
+    near = scratch.keep(_near_edges(rest, rule).unionByName(common))
+    out = _members(sharing.select("rep", F.col("size").cast("long").alias("size")), near, scratch)
+    scratch.drop(edges, sharing, hot, common, near)
+    return out
+
+
+def _extents(members: DataFrame, *keys: str) -> DataFrame:
+    """Rows and tokens of each key, and the blocks that they need."""
+    blocks = F.ceil(F.greatest(F.col("n") / CELL_SETS, F.col("w") / CELL_TOKENS)).cast("long")
+    return members.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("size").cast("long").alias("w")).withColumn("blocks", blocks)
+
+
+def _only(rows: DataFrame, ids: DataFrame, key: str | list[str], how: str) -> DataFrame:
+    """A join with few columns of distinct ids: a broadcast while these are few, by their count, else Spark's own choice."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+
+
+def _sets(documents: DataFrame, rule: Rule, names: tuple[str, ...] = ()) -> DataFrame:
+    """``rep``, the columns of whole numbers that are named, and ``tokens``: whole sets, ascending."""
+    fields = ["rep", *names, "tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                packed = [shingle_set(t, rule.width).astype("<u8").tobytes() for t in part.column(part.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(packed, pa.binary())], names=fields)
+
+    source = documents.select("rep", *names, F.coalesce("text", F.lit("")).alias("text"))
+    return source.mapInArrow(run, ", ".join([*(f"{n} long" for n in fields[:-1]), "tokens binary"]))
+
+
+def _overlaps(rows: list[np.ndarray], columns: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of all intersections, as products of 0/1 matrices over the tokens that can meet, a tile at a time. Without columns: of the rows among themselves."""
+    sides = [*rows, *(columns or ())]
+    n, total = len(rows), sum(map(len, rows))
+    tokens, where = np.unique(np.concatenate(sides), return_inverse=True)
+    here = np.bincount(where[:total], minlength=len(tokens))
+    meets = here > 1 if columns is None else (here > 0) & (np.bincount(where[total:], minlength=len(tokens)) > 0)
+    keep = meets[where]
+    place = (np.cumsum(meets) - 1)[where[keep]]
+    owner = np.repeat(np.arange(len(sides)), [len(x) for x in sides])[keep]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out = np.zeros((n, n if columns is None else len(columns)))
+    kinds = int(meets.sum())
+    width = min(max(64, TILE_CELLS // len(sides)), max(1, kinds))
+    for start in range(0, kinds, width):
+        i, j = np.searchsorted(place, [start, start + width])
+        tile = np.zeros((len(sides), width), np.float32)
+        tile[owner[i:j], place[i:j] - start] = 1
+        out += tile[:n] @ tile[n if columns is not None else 0 :].T
+    return out
+
+
+def cell_links(rows: list[tuple[int, int, int, np.ndarray]], rule: Rule, orders: TokenOrders) -> list[tuple[int, int]]:
+    """Links that join different components among ``rep, component, side, tokens`` of a cell: all pairs of one side, or all pairs across two.
+
+    A pair's sizes must fit and its prefixes share a token under every order before the sets themselves are intersected.
+    """
+    left, right = ([r for r in rows if r[2] == side] for side in (0, 1))
+    one = not right
+    sides = [left] if one else [left, right]
+    right = right or left
+    if not left or one and len(left) < 2:
+        return []
+    a, b = (np.array([len(r[3]) for r in side]) for side in (left, right))
+    wanted = np.array([r[1] for r in left])[:, None] != np.array([r[1] for r in right])
+    wanted &= 100 * np.minimum(a[:, None], b) >= rule.percent * np.maximum(a[:, None], b)
+    if one:
+        wanted = np.triu(wanted, 1)
+    for k in range(len(ORDERS)):
+        if not wanted.any():
+            return []
+        wanted &= _overlaps(*([orders.prefix(r[3], k, rule.prefix(len(r[3]))) for r in side] for side in sides)) > 0
+    i, j = np.nonzero(wanted)
+    if 2 * len(i) > len(left) + len(right):
+        common = _overlaps(*([r[3] for r in side] for side in sides))[i, j]
+    else:
+        common = np.array([len(np.intersect1d(left[p][3], right[q][3], assume_unique=True)) for p, q in zip(i, j)], dtype=np.int64)
+    linked = rule.links(common, a[i], b[j])
+    forest = _Forest()
+    return [(left[p][0], right[q][0]) for p, q in zip(i[linked].tolist(), j[linked].tolist()) if forest.join(left[p][1], right[q][1])]
+
+
+def _compare(rows: DataFrame, rule: Rule, shared) -> DataFrame:
+    """Links ``a, b`` of ``cell, side, rep, component, tokens``: each cell is dealt to one task and holds a bounded number of sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, found = None, [], []
+
+        def done() -> None:
+            found.extend(cell_links(held, rule, shared.value))
+            held.clear()
+
+        for batch in batches:
+            for key, side, rep, component, tokens in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4)):
+                if key != cell:
+                    done()
+                    cell = key
+                held.append((rep, component, side, np.frombuffer(tokens.as_buffer(), dtype="<u8")))
+            if len(found) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+                found.clear()
+        done()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    dealt = rows.select("cell", "side", "rep", "component", "tokens").repartition(shuffle_partitions(rows.sparkSession), "cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _large_links(documents: DataFrame, members: DataFrame, rule: Rule, shared, scratch: Scratch) -> DataFrame:
+    """Links inside the families that need several blocks, ``members`` with ``rep, size, family``."""
+    reps = members.select("rep").distinct()
+    sets = scratch.keep(_sets(_only(documents, reps, "rep", "left_semi"), rule))
+
+    total = members.count()
+    extents = scratch.keep(_extents(members, "family").where("n > 1"))
+    placed = scratch.keep(join_spread(members, extents, ["family"], "n", total).select(
+        "rep", "size", "family", "blocks", F.xxhash64("family", F.pmod(F.xxhash64("rep"), "blocks")).alias("cell")
+    ))
+    first = placed.select("rep", "cell").distinct().join(sets, "rep").withColumn("side", F.lit(0)).withColumn("component", F.col("rep"))
+    found = scratch.keep(_compare(first, rule, shared))
+    several = placed.where("blocks > 1")
+    stars = connected_components(found, scratch)
+    named = scratch.keep(
+        several.select("rep", "size", "family").join(stars.select(F.col("node").alias("rep"), "root").distinct(), "rep", "left")
+        .select("rep", "size", "family", F.coalesce("root", "rep").alias("component"))
+    )
+    # components of half a block and more have blocks of their own, the others share some
+    owns = scratch.keep(_extents(named, "family", "component").where(F.col("blocks") + F.col("n") / CELL_SETS >= 1.5))
+    own = join_spread(named, owns.select("family", "component", "n", "blocks"), ["family", "component"], "n", total)
+    shares = named.join(owns.select("family", "component"), ["family", "component"], "left_anti")
+    pools = scratch.keep(_extents(shares, "family"))
+    pooled = join_spread(shares, pools.select("family", "n", "blocks"), ["family"], "n", total)
+    at = F.pmod(F.xxhash64("rep"), "blocks")
+    blocked = scratch.keep(
+        own.select("rep", "family", "component", F.col("component").alias("sole"), F.xxhash64("family", "component", at).alias("block"))
+        .unionByName(pooled.select("rep", "family", "component", F.lit(None).cast("long").alias("sole"), F.xxhash64("family", at).alias("block")))
+    )
+    blocks = scratch.keep(blocked.select("family", "block", "sole").distinct())
+    x, y = blocks.alias("x"), blocks.alias("y")
+    apart = F.col("x.sole").isNull() | F.col("y.sole").isNull() | (F.col("x.sole") != F.col("y.sole"))
+    meeting = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.block") <= F.col("y.block")) & apart)
+    pair = F.xxhash64("x.block", "y.block").alias("cell")
+    sides = F.when(F.col("x.block") == F.col("y.block"), F.array(F.struct(F.col("x.block").alias("block"), F.lit(0).alias("side")))).otherwise(
+        F.array(F.struct(F.col("x.block").alias("block"), F.lit(0).alias("side")), F.struct(F.col("y.block").alias("block"), F.lit(1).alias("side")))
+    )
+    cells = scratch.keep(meeting.select(pair, F.explode(sides).alias("s")).select("cell", "s.block", "s.side"))
+    second = blocked.select("rep", "component", "block").distinct().join(sets, "rep").join(cells, "block")
+    more = scratch.keep(_compare(second, rule, shared))
+    scratch.drop(sets, placed, named, owns, pools, blocked, blocks, cells)
+    return found.unionByName(more)
+
+
+def jaccard_components(documents: DataFrame, rule: Rule = Rule(), scratch: Scratch | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id``: a row for each input row, linked documents under their smallest id.
 
     Empty sets link with nothing. Rows that share an id are one node. A row with a null id links with nothing and has a null
-    component. An empty table gives no rows; other columns are ignored.
+    component. Null texts count as empty. An empty table gives no rows; other columns are ignored.
     """
     spark = documents.sparkSession
-    scale = math.ceil(math.log2(documents.count() + 1))
+    scratch = scratch or Scratch(spark, "ngram-join")
+    documents = documents.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    total = documents.count()
+    scale = math.ceil(math.log2(total + 1))
     bits = max(SKETCH_BITS[0], min(SKETCH_BITS[1], scale))
     map_bits = max(MAP_BITS[0], min(MAP_BITS[1], scale + 6))
-    part_bits = max(4, min(12, math.ceil(math.log2(shuffle_partitions(spark)))))
-    summaries = durable(_summaries(documents, rule, bits, part_bits))
+    part_bits = max(PART_BITS[0], min(PART_BITS[1], scale - 14))  # about 2^14 documents' prefixes in a part, whatever the corpus
+    summaries = scratch.keep(_summaries(documents, rule, bits, part_bits))
     shared = spark.sparkContext.broadcast(_orders(summaries, bits, map_bits, part_bits))
-    rows = summaries.where("block IS NULL AND part IS NULL").select("doc_id", "n_shingles", "d1", "d2")
+    rows = scratch.keep(summaries.where("block IS NULL AND part IS NULL").select("doc_id", "n_shingles", "d1", "d2"))
+    scratch.drop(summaries)
     linkable = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    copies = durable(linkable.join(classes, ["d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), "d1", "d2"))
-
-    others = copies.select(F.col("a").alias("rep"), "d1", "d2").distinct()  # by row: an id may have other texts besides
-    prefixes = durable(_only(_prefixes(documents, rule, shared).where("rep IS NOT NULL AND size > 0"), others, ["rep", "d1", "d2"], "left_anti").drop("d1", "d2"))
-    postings = _in_groups(prefixes, map_bits, part_bits).withColumn("room", rule.room())
-    by_size = W.partitionBy("token").orderBy("size", "rep")
-    beside = F.lag("rep").over(by_size).isNotNull() | F.lead("rep").over(by_size).isNotNull()
-    groups = durable(postings.withColumn("beside", beside).where("beside").select("token", "rep", "size", "room"))
-    sets = durable(_sets(_only(documents, groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), rule, shared))
-
-    links = labels = None
-    for k in range(CHAIN_ROUNDS):
-        release(spark)
-        order = W.partitionBy("token").orderBy("size", "rep") if k == 0 else W.partitionBy("token").orderBy(F.xxhash64("rep", F.lit(k)), "rep")
-        named = groups.withColumn("component", F.col("rep")) if labels is None else _named(groups, labels)
-        pairs = _steps(named, order, rule)
-        found = durable(_verify_pairs(pairs, sets, rule))
-        links = found if labels is None else labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
-        none = found.isEmpty()
-        if labels is None or not none:
-            labels = connected_components(links)
-        mixed = F.min("component").over(W.partitionBy("token")) != F.max("component").over(W.partitionBy("token"))
-        groups = durable(_named(groups, labels).withColumn("mixed", mixed).where("mixed").select("token", "rep", "size", "room"))
-        if none or groups.isEmpty():
-            break
-    if not groups.isEmpty():
-        links = links.unionByName(_remaining(groups, labels, sets, rule))
-    release(spark)
-    final = durable(connected_components(links.unionByName(copies.select("a", "b"))).distinct())
+    classes = scratch.keep(linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"))
+    copies = scratch.keep(join_spread(linkable, classes, ["d1", "d2"], "copies", total).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), "d1", "d2"))
+
+    others = copies.select(F.col("a").alias("rep"), "d1", "d2")  # by row: an id may have other texts besides
+    prefixes = scratch.keep(_only(_prefixes(documents, rule, shared).where("rep IS NOT NULL AND size > 0"), others, ["rep", "d1", "d2"], "left_anti").drop("d1", "d2"))
+    held = scratch.keep(_in_several(prefixes, map_bits, part_bits))
+    members = _families(held, rule, scratch)
+    scratch.drop(classes, prefixes, held)
+    extents = scratch.keep(_extents(members, "family").where("n > 1"))
+    small = join_spread(members, extents.where("blocks = 1").select("family", "n"), ["family"], "n", total).select("rep", F.col("family").alias("cell")).distinct()
+    sets = _sets(_only(documents, small, "rep", "inner"), rule, ("cell",))
+    links = scratch.keep(_compare(sets.withColumn("side", F.lit(0)).withColumn("component", F.col("rep")), rule, shared))
+    large = join_spread(members, extents.where("blocks > 1").select("family", "n"), ["family"], "n", total).select("rep", "size", "family")
+    if not extents.where("blocks > 1").isEmpty():
+        links = links.unionByName(_large_links(documents, scratch.keep(large), rule, shared, scratch))
+    final = connected_components(links.unionByName(copies.select("a", "b")), scratch)
+    scratch.drop_all_but(rows, final)
+    shared.unpersist()
     joined = rows.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def _steps(named: DataFrame, order, rule: Rule) -> DataFrame:
-    """Distinct pairs ``a, b`` of neighbours in each token's group that are in different components and may link."""
-    before = {c: F.lag(c).over(order).alias(f"other_{c}") for c in ("rep", "component", "size", "room")}
-    steps = named.select("rep", "component", "size", "room", *before.values()).where("other_component <> component")
-    fits = (F.col("room") >= rule.percent * F.col("other_size")) & (F.col("other_room") >= rule.percent * F.col("size"))
-    return steps.where(fits).select(F.least("other_rep", "rep").alias("a"), F.greatest("other_rep", "rep").alias("b")).distinct()
-
-
-def _named(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    own = labels.select(F.col("node").alias("rep"), "root").distinct()
-    return groups.join(own, "rep", "left").select("token", "rep", "size", "room", F.coalesce("root", "rep").alias("component"))
-
-
-def _remaining(groups: DataFrame, labels: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Links between different components that may link by a token they share, by comparing all their members."""
-    release(groups.sparkSession)
-    held = sets.select("rep").join(labels.select(F.col("node").alias("rep"), "root").distinct(), "rep", "left").select("rep", F.coalesce("root", "rep").alias("component"))
-    members = durable(held.distinct())
-    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
-    best = _named(groups, labels).groupBy("token", "component").agg(F.max("room").alias("room"), F.min("size").alias("size"))
-    at = durable(best.join(sizes, "component"))
-    x, y = at.alias("x"), at.alias("y")
-    larger = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.component") > F.col("y.component")))
-    fits = (F.col("x.room") >= rule.percent * F.col("y.size")) & (F.col("y.room") >= rule.percent * F.col("x.size"))
-    pairs = durable(x.join(y, (F.col("x.token") == F.col("y.token")) & larger & fits).select(F.col("x.component").alias("large"), F.col("y.component").alias("small")).distinct())
-    return durable(_verify_components(pairs, members, sets, rule))
-
-
 def one_of_each(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The documents that are the smallest id of their component, with all their columns.
+    """The documents that are the smallest id of their component, with all their columns, whatever these are called.
 
-    Of identical rows with that id all stay; documents with empty texts or null ids stay.
+    Of identical rows with that id all stay; documents with empty texts or null ids stay. An empty table gives none.
     """
-    dropped = durable(jaccard_components(documents, rule).where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct())
-    kept = _only(documents.withColumn("__id", F.col("doc_id").cast("long")), dropped, "__id", "left_anti")
-    return kept.drop("__id")
+    scratch = Scratch(documents.sparkSession, "near-copies")
+    dropped = scratch.keep(jaccard_components(documents, rule, scratch).where("component_id <> doc_id").select(F.col("doc_id").alias("dropped_id")).distinct())
+    scratch.drop_all_but(dropped)
+    few = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
+    return documents.join(few, documents["doc_id"].cast("long") == few["dropped_id"], "left_anti")

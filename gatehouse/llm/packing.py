@@ -26,10 +26,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import TOKENIZER_DIR, durable, map_rows, shuffle_partitions, text_or_empty
+from .common import Scratch, map_rows, shuffle_partitions, text_or_empty, vocabulary
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-WORD_BPE = f"{TOKENIZER_DIR}/word_bpe_49k.json"
+WORD_BPE = vocabulary("word_bpe_49k.json")
 CAPACITY = 2048
 SEPARATOR = 0
 CACHE_WORDS = 1_000_000
@@ -302,7 +302,7 @@ def pack_documents(documents: DataFrame, path: str = WORD_BPE, capacity: int = C
     packed each; other columns are ignored.
     """
     spark = documents.sparkSession
-    pieces = durable(token_pieces(documents, path, capacity))
+    pieces = Scratch(spark, "packing").keep(token_pieces(documents, path, capacity))
     salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shuffle_partitions(spark))).cast("int").alias("salt")
     salted = pieces.withColumn("salt", salt)
     counts = salted.groupBy("length", "salt").count()

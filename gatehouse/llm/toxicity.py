@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import durable, map_rows
+from .common import Scratch, map_rows
 
 #: Labelled documents that the lexicon is fitted on, at most: those with the smallest hashes of their ids.
 TRAIN_ROWS = 12_000
@@ -148,18 +148,19 @@ def learn_lexicon(documents: DataFrame, labels: DataFrame, train_rows: int = TRA
     train = usable.where(place < int(share * (1 << 30))).orderBy(place, "doc_id").limit(train_rows)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     joined = texts.join(F.broadcast(train), "doc_id").select("doc_id", "toxic", "text")  # at most train_rows rows of two numbers
-    seen = durable(_labelled_features(joined))
+    scratch = Scratch(documents.sparkSession, "toxicity")
+    seen = scratch.keep(_labelled_features(joined))
     kept = seen.select("doc_id")
     for k in range(3):
         kept = kept.join(seen.groupBy(f"h{k}").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "doc_id", "left_semi")
-    voting = durable(seen.join(kept, "doc_id", "left_semi"))
+    voting = scratch.keep(seen.join(kept, "doc_id", "left_semi"))
     n_bad, n_good = voting.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(F.lit(1) - F.col("toxic")), F.lit(0))).first()
     if not n_bad or not n_good:
         return Lexicon({})
     odds = n_bad / n_good
     own = voting.select("toxic", F.explode("words").alias("word"))
     sums = [F.sum("toxic").alias("bad"), F.sum(F.lit(1) - F.col("toxic")).alias("good")]
-    words = durable(own.groupBy("word").agg(*sums))
+    words = scratch.keep(own.groupBy("word").agg(*sums))
     lengths = F.sequence(F.lit(PREFIX_MIN), F.least(F.length("word"), F.lit(PREFIX_MAX)))
     beginnings = words.where(F.length("word") >= PREFIX_MIN).select(F.explode(F.transform(lengths, lambda n: F.substring("word", F.lit(1), n))).alias("term"), "bad", "good")
     terms = beginnings.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
