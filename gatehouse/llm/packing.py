@@ -10,10 +10,13 @@ place from its rank among the pieces of its length, which is computed by salted,
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -21,48 +24,126 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Scratch, map_rows, shuffle_partitions, text_or_empty, vocabulary
+from .bpe import byte_alphabet, gather
+from .common import Scratch, shuffle_partitions, text_or_empty, vocabulary
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 WORD_BPE = vocabulary("word_bpe_49k.json")
 CAPACITY = 2048
 SEPARATOR = 0
-CACHE_WORDS = 1_000_000
+#: Words remembered per worker (a full memory is emptied, which costs time and never results), and bytes of text encoded at once.
+CACHE_WORDS, SLICE_BYTES = 1_000_000, 8 << 20
+
+_SPACED = np.where(np.isin(np.arange(256), [9, 10, 13]), 32, np.arange(256)).astype(np.uint8)
+#: Letters whose lower case and normal form depend on nothing around them, and pieces as the file's pre-tokeniser cuts them.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ž"
+_PLAIN = re.compile(f"[{_LETTERS}!-&(-~]+")  # no apostrophe, which begins contractions
+_PIECES = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+_BYTE_NAMES = {b: c for c, b in byte_alphabet().items()}
 
 
 class WordEncoder:
-    """Ids of the library, word by word. The pre-tokeniser drops white space, so words encode independently."""
+    """Ids of the library, word by word. The pre-tokeniser drops white space, so words encode independently.
+
+    The words of a whole slice become numbers first (Arrow's dictionary), each distinct one is looked up once, and ids are gathered
+    by number. New words of Latin letters and printable ASCII are normalised and split here, by the file's own rules, and given to
+    its model alone; all other words take the whole tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self._known: dict[str, bytes] = {}
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each whole text."""
-        known, rows, new = self._known, [], {}
-        for text in texts:
-            for c in "\n\t\r":
-                if c in text:
-                    text = text.replace(c, " ")
-            words = text.split(" ")
-            ids = list(map(known.get, words))
-            rows.append((words, ids))
-            if None in ids:
-                new.update((w, None) for w, x in zip(words, ids) if x is None)
-        if new:
-            done = self.tokenizer.encode_batch_fast(list(new), add_special_tokens=False)
-            new = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, done)}
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-            known.update(new)
-        return [b"".join([new[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids) for words, ids in rows]
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self._bare = Tokenizer(self.tokenizer.model) if _is_usual(spec) else None
+        self._specials = tuple(t["content"] for t in spec["added_tokens"])
+        self._forget()
+
+    def _forget(self) -> None:
+        self._index: dict[str, int] = {}
+        self._flat, self._used = np.zeros(1 << 16, dtype="<u4"), 0
+        self._start, self._count = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode words and add them to the table."""
+        plain, other, pieces, owner = [], [], [], []
+        for k, word in enumerate(new):
+            if self._bare is None or not _PLAIN.fullmatch(word) or any(x in word for x in self._specials):
+                other.append(k)
+                continue
+            plain.append(k)
+            parts = (word,) if word.isalpha() else _PIECES.findall(word)
+            pieces += [x.lower() if x.isascii() else x.lower().encode().decode("latin-1").translate(_BYTE_NAMES) for x in parts]
+            owner += [k] * len(parts)
+        counts = np.zeros(len(new), dtype=np.int64)
+        ids, whose = [], []
+        for tokenizer, words, of in ((self._bare, pieces, owner), (self.tokenizer, [new[k] for k in other], other)):
+            if words:
+                done = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+                ids.append(np.array(done.ids, dtype="<u4"))
+                whose.append(np.array(of, dtype=np.int64)[np.array(done.word_ids, dtype=np.int64)])
+        ids, whose = np.concatenate([*ids, np.zeros(0, "<u4")]), np.concatenate([*whose, np.zeros(0, np.int64)])
+        np.add.at(counts, whose, 1)
+        at, n = self._used, len(self._index)
+        while len(self._flat) < at + len(ids):
+            self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
+        while len(self._start) < n + len(new):
+            self._start, self._count = (np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._count))
+        self._flat[at : at + len(ids)] = ids[np.argsort(whose, kind="stable")]
+        self._count[n : n + len(new)] = counts
+        self._start[n : n + len(new)] = at + np.cumsum(counts) - counts
+        self._used = at + len(ids)
+        self._index.update(zip(new, range(n, n + len(new))))
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's end. No text may be null."""
+        words = pc.split_pattern(_with_spaces(texts), " ")
+        numbered = words.flatten().dictionary_encode()
+        held = numbered.dictionary.to_pylist()
+        codes = list(map(self._index.get, held))
+        if None in codes:
+            new = [w for w, c in zip(held, codes) if c is None]
+            if len(self._index) + len(new) > CACHE_WORDS:
+                self._forget()
+                codes, new = [None] * len(held), held
+            self._learn(new)
+            codes = [self._index[w] if c is None else c for w, c in zip(held, codes)]
+        code = np.array(codes, dtype=np.int64)[numbered.indices.to_numpy(zero_copy_only=False)]
+        counts = self._count[code]
+        offsets = words.offsets.to_numpy(zero_copy_only=False)
+        return gather(self._flat, self._start[code], counts), np.concatenate([[0], np.cumsum(counts)])[offsets[1:] - offsets[0]]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each whole text."""
+        ids, ends = self.encode(pa.array(texts, pa.string()))
+        return np.split(ids, ends[:-1])
+
+
+def _is_usual(spec: dict) -> bool:
+    """Whether words may be normalised and split here: the file's rules are those that ``_PLAIN`` and ``_PIECES`` follow."""
+    normalizer, splitter = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    rules = [(n.get("type"), (n.get("pattern") or {}).get("Regex"), n.get("content")) for n in normalizer.get("normalizers", [])]
+    parts = splitter.get("pretokenizers", [])
+    return (
+        rules == [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)] and [p["type"] for p in parts] == ["Split", "ByteLevel"]
+        and parts[0]["pattern"] == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"} and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"]
+    )
+
+
+def _with_spaces(texts: pa.StringArray) -> pa.StringArray:
+    """Tabs and line ends as spaces, in a copy of the bytes."""
+    _, offsets, data = texts.buffers()
+    if data is None:
+        return texts
+    changed = _SPACED[np.frombuffer(data, dtype=np.uint8)]
+    return pa.StringArray.from_buffers(len(texts), offsets, pa.py_buffer(changed), offset=texts.offset)
 
 
 @lru_cache(maxsize=2)
@@ -73,21 +154,38 @@ def _encoder(path: str) -> WordEncoder:
 def token_pieces(documents: DataFrame, path: str = WORD_BPE, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every document's ids and separator, cut at the capacity.
 
-    Null and empty texts give the separator alone. Repeated rows give repeated pieces.
+    Null and empty texts give the separator alone. Repeated rows give repeated pieces. Texts are encoded a few megabytes at a
+    time, or one at a time where a single one is longer.
     """
-
-    def run(rows: dict) -> list:
-        out: tuple[list, ...] = ([], [], [], [], [])
-        for doc_id, ids in zip(rows["doc_id"], _encoder(path).encode_many(rows["text"])):
-            ids += SEPARATOR.to_bytes(4, "little")
-            for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                part = ids[at : at + 4 * capacity]
-                for column, value in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))):
-                    column.append(value)
-        return list(out)
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+
+    def cut(doc_ids: pa.Array, texts: pa.StringArray) -> pa.RecordBatch:
+        ids, ends = _encoder(path).encode(texts)
+        ids = np.insert(ids, ends, SEPARATOR)
+        lengths = np.diff(ends, prepend=0) + 1
+        pieces = -(-lengths // capacity)
+        owner = np.repeat(np.arange(len(lengths)), pieces)
+        piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = piece * capacity
+        length = np.minimum(lengths[owner] - start, capacity)
+        first = (np.cumsum(lengths) - lengths)[owner] + start
+        raw = memoryview(ids.astype("<u4").tobytes())
+        crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + length).tolist())]
+        cells = [doc_ids.take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+        return pa.RecordBatch.from_arrays(cells, schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                before = sizes[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, side="right")))
+                yield cut(batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at))
+                at = to
 
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return map_rows(source, "doc_id long, piece int, start long, length long, ids_crc32 long", run)
+    return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 @dataclass
