@@ -1,14 +1,17 @@
 """Personal data: validated numbers, dates and addresses replaced by keyed pseudonyms of the same format.
 
-A value is a number in the domain of its format, and a keyed Feistel network permutes that domain, walking
-on until the result is valid again. Equal values get equal pseudonyms in every document, different values
-different ones, and only the holder of the key can go back.
+A value is a number in the domain of its format, and a keyed Feistel network P permutes that domain. The pseudonym of x is
+the value that P puts right after x, walking on until it is valid again: a permutation too, and one that leaves no value
+as it is where the domain has another. Equal values get equal pseudonyms in every document, different values different
+ones, and only the holder of the key can go back.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from bisect import bisect_right
 from dataclasses import dataclass
 from datetime import date
 from functools import lru_cache
@@ -18,15 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import bound_batches, map_rows
 
 ROUNDS = 8
+#: Characters that are permuted as one number; longer values go block by block.
+BLOCK = 64
 #: The key unless a caller brings a secret one of their own, as production must.
 KEY = b"gatehouse-pseudonyms"
 KINDS = ("email", "phone", "card", "ssn", "iban", "ip", "date")
 
 #: The formats, tried anchored where a digit run or an @ makes one possible.
-EMAIL_LOCAL, EMAIL_DOMAIN = re.compile(r"[\w.+%-]+\Z"), re.compile(r"@((?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24})(?![\w-])")
+EMAIL_LOCAL, EMAIL_DOMAIN = re.compile(r"(?<![\w.+%-])[\w.+%-]++\Z"), re.compile(r"@((?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24})(?![\w-])")
 NUMBERS = re.compile(
     r"(?<![\w@])(?:"
     r"(?P<date>\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})"
@@ -82,17 +87,23 @@ class Feistel:
                 left = (left - self._round(k, right)) % self.u
         return left * self.v + right
 
-    def permute(self, x: int, valid=lambda _: True) -> int:
-        y = self._once(x)
-        while y >= self.n or not valid(y):
-            y = self._once(y)
+    def _within(self, step, x: int) -> int:
+        y = step(x)
+        while y >= self.n:
+            y = step(y)
         return y
 
+    def permute(self, x: int, valid=lambda _: True, by: int = 1) -> int:
+        """The next valid value in the keyed order of all values."""
+        place = self._within(self._once, x)
+        while True:
+            place = (place + by) % self.n
+            y = self._within(self._back, place)
+            if valid(y):
+                return y
+
     def invert(self, y: int, valid=lambda _: True) -> int:
-        x = self._back(y)
-        while x >= self.n or not valid(x):
-            x = self._back(x)
-        return x
+        return self.permute(y, valid, -1)
 
 
 @lru_cache(maxsize=4096)
@@ -125,9 +136,15 @@ def _refill(shape: str, characters: str, ours=str.isalnum) -> str:
     return "".join(next(it) if ours(c) else c for c in shape)
 
 
-def _classes(value: str) -> list[tuple[int, int]]:
-    """Base and size of the alphabet of each character that is an ASCII letter or digit."""
-    return [(48, 10) if "0" <= c <= "9" else (65, 26) if "A" <= c <= "Z" else (97, 26) for c in value if c.isascii() and c.isalnum()]
+@lru_cache(maxsize=4096)
+def alphabet(c: str) -> str:
+    """The characters that may stand for a letter or digit: of ASCII its kind, else of its Unicode category among the 128 code points around it; none for any other."""
+    if c.isascii():
+        return next((x for x in ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") if c in x), "")
+    if not c.isalnum():
+        return ""
+    start, kind = ord(c) & ~127, unicodedata.category(c)
+    return "".join(x for x in map(chr, range(start, start + 128)) if unicodedata.category(x) == kind)
 
 
 @dataclass(frozen=True)
@@ -142,27 +159,31 @@ class Pseudonymizer:
         return (network.invert if self.backwards else network.permute)(x, valid)
 
     def _characters(self, tweak: str, value: str) -> str:
-        """ASCII letters and digits permuted as one mixed-radix number; all else stays."""
-        classes = _classes(value)
-        if not classes:
-            return value
-        n, x = 1, 0
-        for c, (base, size) in zip((c for c in value if c.isascii() and c.isalnum()), classes):
-            n, x = n * size, x * size + ord(c) - base
-        y = self._permute(f"{tweak}:{''.join('daA'[(b > 48) + (b == 65)] for b, _ in classes)}", n, x)
-        out = []
-        for base, size in reversed(classes):
-            y, d = divmod(y, size)
-            out.append(chr(base + d))
-        return _refill(value, "".join(reversed(out)), lambda c: c.isascii() and c.isalnum())
+        """Letters and digits permuted, each within its alphabet, as mixed-radix numbers of a block each; all else stays."""
+        places = [(k, a) for k, c in enumerate(value) if (a := alphabet(c))]
+        out = list(value)
+        for at in range(0, len(places), BLOCK):
+            block = places[at : at + BLOCK]
+            n, x = 1, 0
+            for k, a in block:
+                n, x = n * len(a), x * len(a) + a.index(value[k])
+            if n < 2:
+                continue
+            y = self._permute(f"{tweak}:{at}:{''.join(a[0] for _, a in block)}", n, x)
+            for k, a in reversed(block):
+                y, d = divmod(y, len(a))
+                out[k] = a[d]
+        return "".join(out)
 
     def _digits(self, tweak: str, digits: str, valid=lambda _: True) -> str:
         k = len(digits)
         return f"{self._permute(f'{tweak}:{k}', 10**k, int(digits), lambda x: valid(f'{x:0{k}d}')):0{k}d}"
 
     def email(self, value: str) -> str | None:
+        """The local part, and the domain by itself up to its last label, so that one domain stays one."""
         local, _, domain = value.rpartition("@")
-        return f"{self._characters('email', local)}@{domain}"
+        host, _, top = domain.rpartition(".")
+        return f"{self._characters('email', local)}@{self._characters('domain', host)}.{top}"
 
     def card(self, value: str) -> str | None:
         digits = "".join(filter(str.isdigit, value))
@@ -225,21 +246,25 @@ class Pseudonymizer:
         at = text.find("@")
         floor = 0
         while at >= 0:
-            local, domain = EMAIL_LOCAL.search(text[max(floor, at - 64) : at]), EMAIL_DOMAIN.match(text, at)
+            domain = EMAIL_DOMAIN.match(text, at)
+            local = _ending(text, floor, at) if domain else None
             if local and domain:
                 start, end = at - len(local[0]), domain.end()
                 found.append((start, end, "email", self.email(text[start:end])))
                 floor = end
-            at = text.find("@", max(at + 1, floor))
+            else:
+                floor = at + 1
+            at = text.find("@", floor)
         if _DIGIT.search(text):
-            taken = [(s, e) for s, e, _, _ in found]
+            starts, ends = [x[0] for x in found], [x[1] for x in found]
             m = NUMBERS.search(text)
             while m:
                 kind = next(k for k in KINDS if k != "email" and m[k] is not None)
                 new, end = None, m.end()
                 for k in iban_ends(m[0]) if kind == "iban" else (len(m[0]),):
                     end = m.start() + k
-                    if not any(s < end and m.start() < e for s, e in taken):
+                    before = bisect_right(starts, end - 1)  # addresses that begin before the end
+                    if not before or ends[before - 1] <= m.start():
                         new = getattr(self, kind)(m[0][:k])
                     if new is not None:
                         found.append((m.start(), end, kind, new))
@@ -259,6 +284,17 @@ class Pseudonymizer:
         return "".join(out) + text[at:] if found else text, found
 
 
+def _ending(text: str, floor: int, at: int) -> re.Match | None:
+    """The local part of an address that ends here, however long."""
+    width = BLOCK
+    while True:
+        start = max(floor, at - width)
+        found = EMAIL_LOCAL.search(text[start:at])
+        if found is None or found.start() or start == floor:
+            return found
+        width *= 4
+
+
 def pseudonymize_documents(documents: DataFrame, key: bytes = KEY) -> DataFrame:
     """``doc_id, text, n_chars``, a count for each kind, and ``spans`` (kind:start:end in the original's code points).
 
@@ -277,12 +313,15 @@ def pseudonymize_documents(documents: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def with_pseudonyms(documents: DataFrame, key: bytes = KEY) -> DataFrame:
-    """The documents with personal data replaced in ``text``; ``n_chars`` follows it, all other columns stay."""
+    """The documents with personal data replaced in ``text``; ``n_chars`` follows it, all other columns stay.
 
-    def run(texts):
-        import pandas as pd
+    Null and empty texts stay as they are, repeated rows give repeated results, and an empty table gives none.
+    """
+    bound_batches(documents.sparkSession)
 
-        return pd.Series([Pseudonymizer(key).replace(t)[0] for t in texts], dtype=pd.ArrowDtype(pa.string())).astype(object).where(lambda s: s.notna(), None)
+    def run(texts: pa.Array) -> pa.Array:
+        parts = (texts.slice(at, 256).to_pylist() for at in range(0, len(texts), 256))
+        return pa.chunked_array([pa.array([Pseudonymizer(key).replace(t)[0] for t in part], pa.string()) for part in parts], pa.string()).combine_chunks()
 
-    out = documents.withColumn("text", F.pandas_udf(run, "string")(F.col("text")))
+    out = documents.withColumn("text", F.arrow_udf(run, "string")(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in documents.columns else out
