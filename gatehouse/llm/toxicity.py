@@ -1,8 +1,8 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
 Folding undoes look-alike letters and digits, so that ``1d1oт`` and ``idiot`` are one word. The lexicon is
-learned from labelled documents: words, and beginnings of words, that are surely likelier in toxic ones. A
-text's score is the weight it collects outside exception phrases, normalised by length.
+learned from labelled documents: words that are surely likelier in toxic ones, and beginnings that many such words share or that are
+such words themselves. A text's score is the weight it collects outside exception phrases, normalised by length.
 """
 
 from __future__ import annotations
@@ -15,19 +15,23 @@ from functools import cached_property
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import Scratch, map_rows
+from .common import Scratch, bound_batches, map_rows
 
 #: Labelled documents that the lexicon is fitted on, at most: those with the smallest hashes of their ids.
 TRAIN_ROWS = 12_000
-#: Terms kept at most, the strongest first, which bounds what every worker holds.
-MAX_TERMS = 4000
 #: A term must be so many times likelier in toxic documents, with the confidence of so many standard deviations.
 LIKELIER, SIGMAS = 3.0, 3.0
+#: A term must occur in so many toxic documents, and in this share of them: together with TRAIN_ROWS that bounds the lexicon.
+MIN_SUPPORT, MIN_SHARE = 3, 0.02
 PREFIX_MIN, PREFIX_MAX = 4, 12
+#: A beginning counts for words that were never seen if so many words share it, none of them with more than this share of its
+#: occurrences, and no longer beginning has nearly all of them; or if it is a term by itself, of so many letters.
+WORDS_MIN, WORD_SHARE, NEARLY_ALL, STEM_MIN = 3, 0.5, 0.9, 5
 HELD_OUT_FOLDS = 5
 
 #: Look-alikes of Latin letters, and phrases in which a term means nothing bad.
@@ -106,7 +110,13 @@ class Lexicon:
                 hits[start] = weight
         if not hits:
             return 0.0
-        total = sum(w for at, w in hits.items() if not any(a <= at < b for a, b in free))
+        total = 0.0
+        end, k = -1, 0  # how far the exception phrases that began so far reach
+        free.sort()
+        for at in sorted(hits):
+            while k < len(free) and free[k][0] <= at:
+                end, k = max(end, free[k][1]), k + 1
+            total += hits[at] if at >= end else 0.0
         return total / math.sqrt(10 + folded.count(" "))
 
     def score(self, text: str | None) -> float:
@@ -137,7 +147,7 @@ def learn_lexicon(documents: DataFrame, labels: DataFrame, train_rows: int = TRA
     """Fit the lexicon on labelled documents outside the held-out fold.
 
     Copies must not vote: of documents that share a text or one of three minimum hashes of word triples, the smallest
-    id counts alone. A term must surely be likelier in toxic documents. Labels that are null, or whose document
+    id counts alone. A term must surely be likelier in toxic documents and occur in a share of them. Labels that are null, or whose document
     is missing, teach nothing; without toxic ones the lexicon is empty and every score 0.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
@@ -147,8 +157,8 @@ def learn_lexicon(documents: DataFrame, labels: DataFrame, train_rows: int = TRA
     share = min(1.0, 2.0 * train_rows / max(1, usable.count()))  # about twice as many as are kept, so that no task sorts all labels
     train = usable.where(place < int(share * (1 << 30))).orderBy(place, "doc_id").limit(train_rows)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = texts.join(F.broadcast(train), "doc_id").select("doc_id", "toxic", "text")  # at most train_rows rows of two numbers
     scratch = Scratch(documents.sparkSession, "toxicity")
+    joined = scratch.keep(texts.join(F.broadcast(train), "doc_id").select("doc_id", "toxic", "text"))  # the one pass over all texts; train has at most train_rows rows of two numbers
     seen = scratch.keep(_labelled_features(joined))
     kept = seen.select("doc_id")
     for k in range(3):
@@ -156,6 +166,7 @@ def learn_lexicon(documents: DataFrame, labels: DataFrame, train_rows: int = TRA
     voting = scratch.keep(seen.join(kept, "doc_id", "left_semi"))
     n_bad, n_good = voting.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(F.lit(1) - F.col("toxic")), F.lit(0))).first()
     if not n_bad or not n_good:
+        scratch.clear()
         return Lexicon({})
     odds = n_bad / n_good
     own = voting.select("toxic", F.explode("words").alias("word"))
@@ -163,26 +174,41 @@ def learn_lexicon(documents: DataFrame, labels: DataFrame, train_rows: int = TRA
     words = scratch.keep(own.groupBy("word").agg(*sums))
     lengths = F.sequence(F.lit(PREFIX_MIN), F.least(F.length("word"), F.lit(PREFIX_MAX)))
     beginnings = words.where(F.length("word") >= PREFIX_MIN).select(F.explode(F.transform(lengths, lambda n: F.substring("word", F.lit(1), n))).alias("term"), "bad", "good")
-    terms = beginnings.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    terms = terms.unionByName(words.select(F.concat("word", F.lit(" ")).alias("term"), "bad", "good"))
+    terms = beginnings.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count_if(F.col("bad") > 0).alias("words"), F.max("bad").alias("most"))
+    terms = terms.unionByName(words.select(F.concat("word", F.lit(" ")).alias("term"), "bad", "good", F.lit(1).cast("long").alias("words"), F.col("bad").alias("most")))
     n, share = F.col("bad") + F.col("good"), F.col("bad") / (F.col("bad") + F.col("good"))
     z = SIGMAS * SIGMAS
     surely = (share + z / (2 * n) - SIGMAS * F.sqrt(share * (1 - share) / n + z / (4 * n * n))) / (1 + z / n)
-    strong = terms.withColumn("surely", surely).where(F.col("surely") > LIKELIER * odds / (1 + LIKELIER * odds))
-    rows = strong.orderBy(F.desc("surely"), "term").limit(MAX_TERMS).collect()
+    supported = F.col("bad") >= max(MIN_SUPPORT, MIN_SHARE * n_bad)
+    rows = terms.where(supported & (surely > LIKELIER * odds / (1 + LIKELIER * odds))).collect()  # few: each is in a share of the training rows
+    weights = _weights({r["term"]: (r["bad"], r["good"], r["words"], r["most"]) for r in rows}, odds)
+    lexicon = Lexicon(weights, _threshold(Lexicon(weights), joined.join(F.broadcast(kept), "doc_id", "left_semi")))
+    scratch.clear()
+    return lexicon
+
+
+def _weights(strong: dict[str, tuple[int, int, int, int]], odds: float) -> dict[str, float]:
+    """Of strong terms, with their toxic and other documents, words and the most documents of a word, those that are kept, with their weights."""
+    longer: dict[str, int] = {}
+    for term, (bad, *_) in strong.items():
+        if not term.endswith(" "):
+            longer[term[:-1]] = max(longer.get(term[:-1], 0), bad)
     weights: dict[str, float] = {}
-    for r in sorted(rows, key=lambda r: (len(r["term"]), r["term"])):
-        weight = math.log((r["bad"] + 0.5) / (r["good"] + 0.5) / odds)
-        shorter = [weights[r["term"][:k]] for k in range(PREFIX_MIN, len(r["term"])) if r["term"][:k] in weights]
+    for term in sorted(strong, key=lambda t: (len(t), t)):
+        bad, good, words, most = strong[term]
+        if not term.endswith(" "):
+            shared = words >= WORDS_MIN and most <= WORD_SHARE * bad and longer.get(term, 0) <= NEARLY_ALL * bad
+            if not shared and not (len(term) >= STEM_MIN and f"{term} " in strong):
+                continue
+        weight = math.log((bad + 0.5) / (good + 0.5) / odds)
+        shorter = [weights[term[:k]] for k in range(PREFIX_MIN, len(term)) if term[:k] in weights]
         if not shorter or weight > max(shorter) + 1.0:  # else its beginning says as much
-            weights[r["term"]] = weight
-    return Lexicon(weights, _threshold(Lexicon(weights), joined.join(F.broadcast(kept), "doc_id", "left_semi")))
+            weights[term] = weight
+    return weights
 
 
 def _labelled_features(joined: DataFrame) -> DataFrame:
     """Features of labelled texts: ``doc_id, toxic, words, h0, h1, h2``."""
-    import pyarrow as pa
-
     schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("words", pa.list_(pa.string())), *((f"h{k}", pa.int64()) for k in range(3))])
 
     def run(batches):
@@ -215,7 +241,7 @@ def _threshold(lexicon: Lexicon, train: DataFrame) -> float:
 def score_documents(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every whole text; null and empty texts score 0.
 
-    One pass without a shuffle: the lexicon of at most ``MAX_TERMS`` terms is sent to the workers. Labels, language
+    One pass without a shuffle: the lexicon, bounded by the training rows, is sent to the workers. Labels, language
     and source are never read. Repeated rows are scored each; a null id is never held out.
     """
     shared = documents.sparkSession.sparkContext.broadcast(lexicon)
@@ -230,13 +256,15 @@ def score_documents(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def drop_toxic(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """The documents that the lexicon does not reject, with all their columns."""
-    shared = documents.sparkSession.sparkContext.broadcast(lexicon)
-
-    def clean(texts):
-        import pandas as pd
+    """The documents that the lexicon does not reject, with all their columns.
 
-        return pd.Series([shared.value.score(t) < 0.5 for t in texts], dtype=bool)
+    Null and empty texts score 0 and stay, repeated rows stay or go together, and an empty table gives none.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(lexicon)
+    bound_batches(documents.sparkSession)
 
-    return documents.where(F.pandas_udf(clean, "boolean")(F.coalesce("text", F.lit(""))))
+    def clean(texts: pa.Array) -> pa.Array:
+        parts = (texts.slice(at, 256).to_pylist() for at in range(0, len(texts), 256))
+        return pa.array([shared.value.score(t) < 0.5 for part in parts for t in part], pa.bool_())
 
+    return documents.where(F.arrow_udf(clean, "boolean")(F.coalesce("text", F.lit(""))))
