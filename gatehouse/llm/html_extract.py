@@ -19,7 +19,7 @@ from .common import map_rows
 #: Elements by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp svg math template".split())
-NEVER = frozenset("script style textarea title iframe noscript noembed noframes xmp svg math template head nav footer aside form button select input object embed dialog menu".split())
+NEVER = frozenset("script style textarea title iframe noscript noembed noframes xmp svg math template head nav footer aside button select input object embed dialog menu".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
     "hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -39,6 +39,10 @@ OTHER_NAMES = frozenset(
 )
 #: What an id inside the chosen text may consist of and still name a part of the page; one with any other word is the slug of a chapter.
 PAGE_PARTS = OTHER_NAMES - {"discussion"} | frozenset("posts articles links stories list box section form area container wrapper buttons block bar items content thread count".split())
+#: Words that make a name a state of the page and not a part of it: with-sidebar, ad-free, no-comments, menu-open.
+STATES = frozenset("with without no non not has have is enabled disabled free open opened closed collapsed hidden visible active".split())
+#: What holds this share of all text and a title is no mere part of the page, whatever it is called.
+MOST = 0.5
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Siblings with this share of the best one's points belong to it; with the second, they score alike.
 BAR, ALIKE = 0.2, 0.5
@@ -53,14 +57,15 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Node:
     """An element, its parts in order (texts and elements), and what it is called."""
 
-    __slots__ = ("tag", "parent", "parts", "names", "slug", "dropped", "score", "length", "linked")
+    __slots__ = ("tag", "parent", "parts", "names", "slug", "dropped", "doubtful", "score", "length", "linked")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent = tag, parent
         self.parts: list[str | Node] = []
         self.names: frozenset[str] = frozenset()
         self.slug: frozenset[str] = frozenset()  # the words of the id, if it is dropped for them alone
-        self.dropped = tag in NEVER
+        self.doubtful = tag == "form"  # dropped, unless it holds the text
+        self.dropped = tag in NEVER or self.doubtful
         self.score = BONUS.get(tag, 0.0)
         self.length = self.linked = 0
 
@@ -69,18 +74,18 @@ def _read_attributes(node: Node, text: str) -> None:
     slug: frozenset[str] = frozenset()
     for name, value in _ATTRIBUTE.findall(text):
         name, value = name.lower(), html.unescape(value.strip("\"'"))
-        if name == "class":
-            node.names |= {x.lower() for x in _NAME.findall(value)}
-        elif name == "id":
-            slug |= {x.lower() for x in _NAME.findall(value)}
+        if name == "class" or name == "id":
+            words = frozenset().union(*(w for token in value.split() if not STATES & (w := {x.lower() for x in _NAME.findall(token)})))
+            node.names, slug = (node.names | words, slug) if name == "class" else (node.names, slug | words)
         elif name == "role":
             node.dropped |= value.strip().lower() in OTHER_ROLES
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
             node.dropped = True
-    if node.tag not in ("article", "main", "body", "html"):
-        node.dropped |= bool(node.names & OTHER_NAMES)
-        if slug & OTHER_NAMES and not node.dropped:
-            node.dropped, node.slug = True, slug
+    if node.tag not in ("article", "main", "body", "html") and not node.dropped:
+        if node.names & OTHER_NAMES:
+            node.dropped = node.doubtful = True
+        elif slug & OTHER_NAMES:
+            node.dropped, node.doubtful, node.slug = True, True, slug
     node.names |= slug
 
 
@@ -144,6 +149,27 @@ def _close(here: Node, tags: set[str] | frozenset[str], within: set[str] | froze
     return here
 
 
+def _restore_wrappers(root: Node) -> None:
+    """What is dropped for its name, or as a form, stays if it holds most of the page's text and, but for a form, a title or the main element."""
+    order, stack = [], [(root, False)]
+    while stack:
+        node, linked = stack.pop()
+        order.append(node)
+        linked |= node.tag == "a"
+        node.length = 0 if linked else sum(len(x.strip()) for x in node.parts if isinstance(x, str))
+        stack += [(x, linked) for x in node.parts if isinstance(x, Node) and (not x.dropped or x.doubtful)]
+    titled = set()
+    for node in reversed(order):
+        if node.tag in ("h1", "main") or id(node) in titled:
+            titled.add(id(node))
+            titled.add(id(node.parent))
+        if node.parent is not None:
+            node.parent.length += node.length
+    for node in order:
+        if node.doubtful and node.length > MOST * root.length and (node.tag == "form" or id(node) in titled):
+            node.dropped = node.doubtful = False
+
+
 def _measure(root: Node) -> list[Node]:
     """Lengths and linked lengths of all kept elements, and the elements in page order."""
     order, stack = [], [(root, False)]
@@ -210,6 +236,7 @@ def _restore_chapters(root: Node, nodes: list[Node]) -> None:
 
 def main_nodes(root: Node) -> list[Node]:
     """The best container and its siblings that belong to it, in page order."""
+    _restore_wrappers(root)
     _drop_headers(_measure(root))
     order = _measure(root)
     scored: list[Node] = []
@@ -237,23 +264,25 @@ def main_nodes(root: Node) -> list[Node]:
         return [best]
     bar = BAR * points[id(best)]
     siblings = [x for x in best.parent.parts if isinstance(x, Node)]
-    out, before = [], False  # in reverse; whether what follows is kept
+    out: list[Node] = []  # in reverse
+    between: list[Node] | None = None  # short blocks before something that is kept; they stay if a heading or something kept precedes them
     for x in reversed(siblings):
         if x.tag in HEADINGS and (not x.dropped or x.slug):
-            if before:
-                out.append(x)
+            if between is not None:
+                out += [*between, x]
+                between = []
             continue
         if x.dropped:
-            before &= x.tag != "nav"
+            between = None if x.tag == "nav" else between
             continue
         alike = x.tag == best.tag and x.names and x.names == best.names
         reads = x.tag == "p" and x.length > 80 and _density(x) < 0.25
         has = points.get(id(x), 0.0)
         if x is best or reads or best.tag != "body" and has > 0 and has + (bar if alike else 0.0) >= bar:
-            out.append(x)
-            before = True
-        elif x.tag in BLOCKS:
-            before = False
+            out += [*(between or ()), x]
+            between = []
+        elif x.tag in BLOCKS and x.length:
+            between = [*between, x] if between is not None and _density(x) < 0.25 else None
     out.reverse()
     _restore_chapters(root, out)
     return out
