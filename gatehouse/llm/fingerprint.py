@@ -3,7 +3,9 @@
 The prefix array of a text holds the polynomial hash of each of its prefixes, modulo a prime. The hash of
 any span is then two look-ups, two spans are equal when their hashes are, and the longest common extension of
 two positions is found by binary search. A fingerprint keeps samples of that array: hashes of prefixes
-and of suffixes at lengths that grow geometrically, and the smallest hashes of all spans of a fixed width.
+and of suffixes at lengths that grow geometrically, and the smallest hashes of all spans of a fixed width. While
+both arrays are at hand, the likeness of two texts uses the exact lengths that they share; of two stored fingerprints,
+the longest sampled ones.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from .common import sha256_hex, shuffle_partitions
 
 #: Two primes below 2^31, so that products fit 64 bits, and a base for each.
 PRIMES, BASES = (2_147_483_647, 2_147_483_629), (1_000_003, 998_244_353)
-SPAN, SKETCH = 24, 64
+SPAN, SKETCH, KEPT_POWERS = 24, 64, 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,6 +42,11 @@ class _Powers:
                 have = getattr(self, name)
                 setattr(self, name, np.concatenate([have, have * np.uint64(pow(base, m, int(self.prime))) % self.prime]))
 
+    def shrink(self) -> None:
+        """One very long text must not fill the worker for good."""
+        if len(self.up) > KEPT_POWERS:
+            self.up, self.down = self.up[:KEPT_POWERS].copy(), self.down[:KEPT_POWERS].copy()
+
 
 _POWERS = [_Powers(p, b) for p, b in zip(PRIMES, BASES)]
 
@@ -160,57 +167,55 @@ def _smallest(hashes: PrefixHashes) -> list[int]:
     return np.unique(mixed)[:SKETCH].tolist()
 
 
-def likeness(a: Fingerprint, b: Fingerprint) -> float:
-    """Likeness of two texts by their fingerprints alone, 0 to 1: the share of the longer text that is common
-    prefix and suffix, or the resemblance of their spans, whichever is larger. Equal fingerprints give 1."""
+def likeness(a: Fingerprint, b: Fingerprint, ends: tuple[int, int] | None = None) -> float:
+    """Likeness of two texts, 0 to 1: the share of the longer text that is common prefix and suffix, or the resemblance
+    of their spans, whichever is larger. Equal fingerprints give 1. ``ends`` are the exact lengths of the common prefix and
+    suffix where the arrays are at hand; else the longest sampled ones count, by binary search too."""
     if a == b:
         return 1.0
     if not a.n or not b.n:
         return 0.0
-    steps = ladder(min(a.n, b.n))
+    if ends is None:
+        steps = ladder(min(a.n, b.n))
 
-    def common(x: tuple[int, ...], y: tuple[int, ...]) -> int:
-        k = bisect_right(range(len(steps)), False, key=lambda i: x[i] != y[i])  # equal up to some step, then not
-        return steps[k - 1] if k else 0
+        def common(x: tuple[int, ...], y: tuple[int, ...]) -> int:
+            k = bisect_right(range(len(steps)), False, key=lambda i: x[i] != y[i])  # equal up to some step, then not
+            return steps[k - 1] if k else 0
 
-    shared = min(common(a.prefixes, b.prefixes) + common(a.suffixes, b.suffixes), min(a.n, b.n)) / max(a.n, b.n)
+        ends = common(a.prefixes, b.prefixes), common(a.suffixes, b.suffixes)
+    shared = min(sum(ends), a.n, b.n) / max(a.n, b.n)
     mine, theirs = set(a.sketch), set(b.sketch)
     union = sorted(mine | theirs)[:SKETCH]
     return min(1.0, max(shared, sum(x in mine and x in theirs for x in union) / len(union)))
 
 
 def with_successors(documents: DataFrame) -> DataFrame:
-    """Documents dealt into ascending ranges of ``doc_id``, each sorted, as ``doc_id, text, extra``.
+    """Documents dealt into ascending ranges of ``doc_id``, each sorted, as ``key, named, text, extra``; without ``named`` the id is null.
 
     After the rows of a range come, marked ``extra``, rows that begin the next range (after the last range, the
     first), so the successor of every row stands behind it. Only range bounds go to the driver: fewer than
-    shuffle partitions. Rows are ordered by id, null ids first, and then by text.
+    shuffle partitions. Rows are ordered by id, null ids first, and then by text; rows of one id stay in one range.
     """
     spark = documents.sparkSession
     n = shuffle_partitions(spark)
-    lowest = -(1 << 63)
-    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    doc_id = F.col("doc_id").cast("long")
+    rows = documents.select(F.coalesce(doc_id, F.lit(-(1 << 63))).alias("key"), doc_id.isNotNull().alias("named"), F.coalesce("text", F.lit("")).alias("text"))
     quantiles = [k / n for k in range(1, n)] or [0.5]
     bounds = np.unique(np.array(rows.approxQuantile("key", quantiles, 0.1 / n), dtype=np.float64)).astype(np.int64)
 
-    def ranges(key):
-        import pandas as pd
-
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(), side="right").astype(np.int32))
+    def ranges(keys: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(bounds, keys.to_numpy(zero_copy_only=False), side="right").astype(np.int32))
 
-    range_of = F.pandas_udf(ranges, "int")
+    range_of = F.arrow_udf(ranges, "int")
     ranged = rows.withColumn("range", range_of("key"))
     firsts = ranged.select("range", "key").groupBy("range").agg(F.min("key").alias("first")).orderBy("range").collect()  # one row a range
     if not firsts:
-        return rows.select("key", "text", F.lit(False).alias("extra"))
-    before = {firsts[k]["first"]: firsts[k - 1]["range"] for k in range(len(firsts))}
-    begins = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
-    also = F.try_element_at(begins, F.col("key"))
-    target = F.explode(F.when(also.isNull(), F.array(F.struct(F.col("range").alias("to"), F.lit(False).alias("extra")))).otherwise(
-        F.array(F.struct(F.col("range").alias("to"), F.lit(False).alias("extra")), F.struct(also.alias("to"), F.lit(True).alias("extra")))
-    ))
-    dealt = ranged.withColumn("target", target).select("key", "text", F.col("target.to").alias("to"), F.col("target.extra").alias("extra"))
-    return dealt.repartitionById(n, F.col("to")).sortWithinPartitions("extra", "key", "text").select("key", "text", "extra")
+        return rows.select("key", "named", "text", F.lit(False).alias("extra"))
+    begins = spark.createDataFrame([(x["first"], firsts[k - 1]["range"]) for k, x in enumerate(firsts)], "key long, before int")  # one row a range
+    own = F.struct(F.col("range").alias("to"), F.lit(False).alias("extra"))
+    targets = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("to"), F.lit(True).alias("extra"))))
+    dealt = ranged.join(F.broadcast(begins), "key", "left").select("key", "named", "text", F.explode(targets).alias("target")).select("key", "named", "text", "target.to", "target.extra")
+    return dealt.repartitionById(n, F.col("to")).sortWithinPartitions("extra", "key", "named", "text").select("key", "named", "text", "extra")
 
 
 def edited_text(text: str, successor: str) -> str:
@@ -222,8 +227,7 @@ def edited_text(text: str, successor: str) -> str:
 def fingerprint_documents(documents: DataFrame) -> DataFrame:
     """Fingerprints of every document and of its edit, and how like they are to it and to the next document.
 
-    The likenesses are by fingerprints alone, so their shared lengths are steps of the ladder; the exact lengths of the common
-    prefix and suffix, from the whole arrays, are columns of their own.
+    The exact lengths of the common prefix and suffix, from the whole arrays, are in the likenesses and columns of their own.
 
     Null texts count as empty; an empty text's fingerprint says so and is like another empty one only. Equal ids
     are ordered by text; a null id counts as the lowest and is returned as null. A single document is its
@@ -234,14 +238,12 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
         ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
         ("prefix_edited", pa.int64()), ("suffix_edited", pa.int64()), ("prefix_next", pa.int64()), ("suffix_next", pa.int64()),
     ])
-    lowest = -(1 << 63)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # key, text, hashes, fingerprint
+        last = None  # id, text, hashes, fingerprint
         ended = False
         for batch in batches:
             out = []
-            for key, text, extra in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for key, named, text, extra in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if ended or extra and last is None:
                     break
                 hashes = PrefixHashes.of(text)
@@ -249,13 +251,14 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
                 if last is not None:
                     half = len(last[1]) // 2
                     joined = last[2].joined(len(last[1]) - half, hashes, min(half, len(text)))
-                    edit = Fingerprint.of(joined)
+                    edit, at_edit, at_next = Fingerprint.of(joined), last[2].shared(joined), last[2].shared(hashes)
                     out.append((
-                        None if last[0] == lowest else last[0], len(last[1]), sha256_hex(edited_text(last[1], text).encode()),
-                        str(last[3]), str(edit), likeness(last[3], edit), likeness(last[3], mark),
-                        *last[2].shared(joined), *last[2].shared(hashes),
+                        last[0], len(last[1]), sha256_hex(edited_text(last[1], text).encode()), str(last[3]), str(edit),
+                        likeness(last[3], edit, at_edit), likeness(last[3], mark, at_next), *at_edit, *at_next,
                     ))
-                last, ended = (key, text, hashes, mark), extra
+                last, ended = (key if named else None, text, hashes, mark), extra
+            for powers in _POWERS:
+                powers.shrink()
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
