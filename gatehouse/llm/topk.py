@@ -1,12 +1,14 @@
 """Exact top-k search by tiled matrix products.
 
-Candidates are hashed into shards of bounded size and every shard meets every query, tile by tile: one matrix
-product for each pair of tiles, a partial selection in it, and the query's best of the shard goes on. The
-lists of a query are merged in a tree over the shards.
+Candidates are hashed into shards and queries into blocks, and every shard meets every block in a cell of a grid, tile by tile:
+one matrix product for each pair of tiles, a partial selection in it, and the query's best of the cell goes on. A
+cell holds one shard, whose bytes are bounded, and streams its queries. The grid's sides are those that
+copy the fewest vectors for as many cells as there are shuffle partitions. The lists of a query are merged in a tree.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions
 
 SCALE = 64
-#: Candidate vectors that one task holds, rows of either tile, and lists merged at a time.
-SHARD_ROWS, TILE, FAN_IN = 200_000, 1024, 16
+#: Bytes of candidate vectors that one task holds, rows of either tile, and lists merged at a time.
+SHARD_BYTES, TILE, FAN_IN = 64 << 20, 1024, 16
 _EXACT = float(1 << 53)
 
 
@@ -110,6 +112,13 @@ def _shard_top(k: int):
     return run
 
 
+def grid(candidates: int, queries: int, size: int, cells: int) -> tuple[int, int]:
+    """Blocks of queries and shards of candidates, of ``size`` bytes in all: as few copies as so many cells need, and no shard beyond its bound."""
+    ratio = candidates / max(1, queries)
+    shards = max(1, -(-size // SHARD_BYTES), min(cells, round(math.sqrt(cells * ratio))))
+    return max(1, min(max(1, queries), -(-cells // shards))), shards
+
+
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k highest inner products of each query with every other row.
 
@@ -117,19 +126,24 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     id. Repeated candidates count each, repeated queries are answered once, and vectors of another
     dimension never meet. With no candidate a query has no row; an empty table gives none.
     """
-    spark = vectors.sparkSession
     rows = quantized(vectors)
-    n_rows = rows.count()
-    shards = max(shuffle_partitions(spark), -(-n_rows // SHARD_ROWS))
+    n_rows, n_queries, n_values = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    blocks, shards = grid(n_rows, n_queries, 8 * n_values, shuffle_partitions(vectors.sparkSession))
     # equal ids may fall into several shards: the salt is the vector, and a very common vector is spread by id
-    candidates = rows.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("is_query"), "vec_id", "v")
-    queries = (
-        rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
-        .select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), "vec_id", "v")
-    )
-    dealt = candidates.unionByName(queries).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "is_query", "vec_id")
+
+    def in_cells(table: DataFrame, is_query: bool, own, cells) -> DataFrame:
+        return table.select("vec_id", "v", F.pmod(own, F.lit(blocks if is_query else shards)).cast("int").alias("own")).select(
+            F.explode(cells).alias("shard"), F.lit(is_query).alias("is_query"), "vec_id", "v"
+        )
+
+    own = F.col("own")
+    candidates = in_cells(rows, False, F.xxhash64("vec_id", "v"), F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: b * shards + own))
+    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
+    queries = in_cells(asked, True, F.xxhash64("v", "vec_id"), F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda c: own * shards + c))
+    cells = blocks * shards
+    dealt = candidates.unionByName(queries).repartitionById(cells, F.col("shard")).sortWithinPartitions("shard", "is_query", "vec_id")
     lists = dealt.mapInArrow(_shard_top(k), "query_id long, shard int, top array<struct<neg:long,vec_id:long>>")
-    width = shards
+    width = cells
     while width > 1:
         width = -(-width // FAN_IN)
         keys = ["query_id", F.floor(F.col("shard") / FAN_IN).cast("int").alias("shard")] if width > 1 else ["query_id", F.lit(0).alias("shard")]
