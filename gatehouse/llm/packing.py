@@ -123,7 +123,7 @@ class WordEncoder:
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each whole text."""
         ids, ends = self.encode(pa.array(texts, pa.string()))
-        return np.split(ids, ends[:-1])
+        return np.split(ids, ends[:-1]) if texts else []
 
 
 def _is_usual(spec: dict) -> bool:

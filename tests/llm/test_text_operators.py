@@ -147,6 +147,48 @@ def test_fingerprint_likeness():
     assert fingerprint.likeness(a, b) < 0.1
 
 
+def brute_spans(text):
+    """The sketch in plain integers: the smallest mixed hashes of all spans."""
+    prime, width = fingerprint.PRIMES[0], min(fingerprint.SPAN, len(text))
+    power = [pow(fingerprint.BASES[0], k, prime) for k in range(width)]
+    spans = {sum((ord(c) + 1) * p for c, p in zip(text[k : k + width], power)) % prime for k in range(len(text) - width + 1)} if text else set()
+    return sorted({(x * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 32 for x in spans})[: fingerprint.SKETCH]
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+
+    def common(x, y):
+        return next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+
+    shared = min(common(a, b) + common(a[::-1], b[::-1]), len(a), len(b)) / max(len(a), len(b))
+    mine, theirs = brute_spans(a), brute_spans(b)
+    union = sorted({*mine, *theirs})[: fingerprint.SKETCH]
+    return min(1.0, max(shared, len({*union} & {*mine} & {*theirs}) / len(union)))
+
+
+def test_likeness_equals_brute_force(spark):
+    r = random.Random(21)
+    base = "".join(r.choice("abcdefgh ") for _ in range(700))
+    texts = [base, base[:500] + "x" * 40 + base[520:], base[300:] + base[:300], "", base, "short", "shorn", "é" * 100, *random_texts("abc ", 6, 120)]
+    rows = list(enumerate(texts))
+    got = {x.doc_id: x for x in fingerprint.fingerprint_documents(documents(spark, rows)).collect()}
+    for (i, t), (_, following) in zip(rows, rows[1:] + rows[:1]):
+        assert got[i].near_edited == pytest.approx(brute_likeness(t, fingerprint.edited_text(t, following)))
+        assert got[i].near_next == pytest.approx(brute_likeness(t, following))
+
+
+def test_lowest_ids_and_very_long_texts(spark):
+    long = "x y" * 400_000
+    rows = [(-(1 << 63), "the lowest"), (None, "none"), (1, long)]
+    got = {r.doc_id: r for r in fingerprint.fingerprint_documents(documents(spark, rows)).collect()}
+    assert set(got) == {-(1 << 63), None, 1} and got[1].n_chars == len(long) and got[1].prefix_edited >= len(long) // 2
+    assert got[None].edited_sha256 == hashlib.sha256(b"noth").hexdigest()
+
+
 def test_fingerprint_table(spark):
     rows = [(k, t) for k, t in enumerate(WEIRD * 3)] + [(5, "a repeated id"), (None, "no id")]
     random.Random(1).shuffle(rows)
@@ -224,6 +266,24 @@ def test_local_search_ends_without_an_exchange():
                     assert not any(0 < a - b <= 2048 - y.fill for a in x.items for b in (0, *y.items))
 
 
+def test_words_encode_as_the_library_does():
+    library = Tokenizer.from_file(packing.WORD_BPE)
+    ours = packing.WordEncoder(packing.WORD_BPE)
+    letters = [chr(c) for c in range(33, 0x250)] + list("ΣσςАж日²½ªº×÷🙂ﬁ") + ["\u0301", "\u00a0", "\u2028", "\x00", "\x0b", "\x1f", "\x85", "\u212b", "\ufeff", "A\u030a"]
+    words = letters + [a + b for a in letters for b in "aE.1'"] + ["don't", "I'LL", "<|endoftext|>", "a<|startoftext|>b", "x_y", "(244)", "a,b;c"]
+    texts = [*WEIRD, *words, *random_texts([*letters[::3], " ", " ", "\n", "\t"], 400, 20), " ".join(words)]
+    assert [x.tolist() for x in ours.encode_many(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert packing.WordEncoder(packing.WORD_BPE).encode_many([]) == []
+
+
+def test_word_memory_forgets_without_changing(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 10)
+    library = Tokenizer.from_file(packing.WORD_BPE)
+    ours = packing.WordEncoder(packing.WORD_BPE)
+    for text in random_texts([*"abcd  ", "é", "x,"], 30, 200):
+        assert ours.encode_many([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_table(spark):
     rows = [(k, t) for k, t in enumerate(WEIRD * 4)] + [(1, None), (1, None), (None, "x")]
     got = packing.pack_documents(documents(spark, rows)).collect()
@@ -293,6 +353,37 @@ def test_html_broken_pages(spark):
     assert out[1].text == "" and out[1].n_chars == 0 and out[2].n_chars == len(out[2].text)
 
 
+TITLE, STORY = "<h1>Title of it</h1>", "".join(f"<p>Part {k} of the story, with commas, words and enough length to be scored as the main text of this page.</p>" for k in range(4))
+AROUND = (
+    '<nav><a href="/">Home</a></nav>{}<div class="sidebar"><p>Buy this, now.</p></div><div class="comments"><h3>Comments</h3>'
+    + "".join(f'<article class="comment"><p>I, too, think so, number {k}, and I would like to add more words here than anybody else, really, even so, and on.</p></article>' for k in range(9))
+    + "</div><form><p>Leave a comment</p><textarea></textarea></form>"
+)
+
+
+@pytest.mark.parametrize("wrapper", ["div class='content with-sidebar'", "div class='post share-enabled'", "div class=ad-free", "div class=no-comments", "div id=page-menu-open", "form action=/x", "div class=share-page", "div class=widget"])
+@pytest.mark.parametrize("inner", [TITLE + STORY, f"{TITLE}<div>{STORY}</div>", f"<article>{TITLE}{STORY}</article>", f"{TITLE}<p>by someone</p><div>{STORY}</div>"])
+def test_html_keeps_what_holds_the_article(wrapper, inner):
+    want = ["Title of it", *(["by someone"] if "by someone" in inner else []), *(f"Part {k}" for k in range(4))]
+    page = f"<{wrapper}>{inner}</{wrapper.split()[0]}>"
+    for html in (page, f"<html><body><nav><a href=/>Home</a></nav>{page}<footer>Copyright</footer></body></html>"):
+        assert [line[: len(w)] for line, w in zip(html_extract.extract(html).split("\n"), want, strict=True)] == want
+
+
+def test_html_drops_comments_however_long():
+    page = AROUND.format(f"<div class='content'>{TITLE}{STORY}</div>")
+    text = html_extract.extract(f"<html><body>{page}</body></html>")
+    assert text.startswith("Title of it\nPart 0") and text.count("\n") == 4
+
+
+def test_html_table(spark):
+    page = f"<main>{TITLE}{STORY}</main>"
+    df = spark.createDataFrame([(1, "u", page, "x", 7), (1, "u", page, "x", 7), (None, None, "", None, None)], "page_id long, url string, html string, text string, n_chars int")
+    rows = html_extract.extract_pages(df).collect()
+    assert [r.text for r in rows if r.page_id == 1] == [html_extract.extract(page)] * 2 and [r.text for r in rows if r.page_id is None] == [""]
+    assert html_extract.extract_pages(df).columns == ["page_id", "url", "text", "n_chars"] and html_extract.extract_pages(df.limit(0)).count() == 0
+
+
 # -- pseudonyms
 
 
@@ -334,11 +425,34 @@ def test_iban_before_a_word(iban, behind):
     assert q.replace(new)[0] == text
 
 
+def test_no_address_survives():
+    p, q = pseudonyms.Pseudonymizer(b"key"), pseudonyms.Pseudonymizer(b"key", backwards=True)
+    r = random.Random(17)
+    kinds = ["abcxyz", "ABC", "0123456789", "иванпет", "ИВАН", "éüßñ", "ÉÜ", "αβγ", "日本語", "한국", "مرحب"]
+    locals_ = ["иван", "é.ü", "петров.1", "a", "7", "я", "a" * 80, "ab." * 5000 + "c"] + [
+        "".join(r.choice(r.choice(kinds)) + r.choice(["", "", ".", "_", "-", "+"]) for _ in range(r.randint(1, 90))).strip(".") for _ in range(400)
+    ]
+    for local in locals_:
+        text = f"to {local}@mail.example.com, please"
+        new, found = p.replace(text)
+        assert [x[2] for x in found] == ["email"] and len(new) == len(text) and found[0][3].rpartition("@")[0] != local and "mail.example" not in new
+        kept = sum(a == b for a, b in zip(text[3:], new[3 : 3 + len(local)]) if a.isalnum())
+        assert kept <= max(2, len(local) // 2) and q.replace(new)[0] == text
+    assert p.replace("x@one.org")[0].split("@")[1] == p.replace("other.name@one.org")[0].split("@")[1]
+
+
+def test_many_values_in_one_text():
+    text = " ".join(f"a{k}@x.org 10.0.{k % 250}.{k // 250}" for k in range(20_000))
+    new, found = pseudonyms.Pseudonymizer(b"key").replace(text)
+    assert Counter(x[2] for x in found) == {"email": 20_000, "ip": 20_000} and all(new != text[s:e] for s, e, _, new in found)
+
+
 def test_pseudonym_table(spark):
     rows = [(1, None), (2, ""), (3, "mail x.12@mail1.example.com"), (4, "again x.12@mail1.example.com"), (4, "again x.12@mail1.example.com")]
     out = pseudonyms.pseudonymize_documents(documents(spark, rows)).collect()
     assert {r.text for r in out if r.doc_id == 1} == {None} and {r.text for r in out if r.doc_id == 2} == {""}
     assert len({r.text.split()[-1] for r in out if r.n_email}) == 1 and len(out) == 5
+    assert pseudonyms.pseudonymize_documents(documents(spark, [])).count() == pseudonyms.with_pseudonyms(documents(spark, [])).count() == 0
     kept = pseudonyms.with_pseudonyms(documents(spark, rows))
     assert kept.columns == ["doc_id", "text", "start", "rank", "extra"] and kept.where("text IS NULL").count() == 1
 
@@ -360,6 +474,23 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_grid_copies_little_and_keeps_to_its_bound():
+    assert topk.grid(20_000, 1000, 1 << 20, 8) == (1, 8) and topk.grid(0, 0, 0, 8) == (1, 1)
+    blocks, shards = topk.grid(10**9, 5 * 10**7, 512 * 10**9, 4000)
+    assert blocks == 1 and 512 * 10**9 / shards <= topk.SHARD_BYTES
+    blocks, shards = topk.grid(1000, 1000, 1 << 20, 64)
+    assert blocks == shards == 8
+
+
+def test_top_k_in_blocks_of_queries(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(k, [float(r.randint(-3, 3)) for _ in range(4)]) for k in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = sorted(topk.top_k(df, 5, 2).collect())
+    monkeypatch.setattr(topk, "grid", lambda *_: (3, 7))
+    assert sorted(topk.top_k(df, 5, 2).collect()) == whole
+
+
 def test_huge_components_stay_exact():
     q, c = np.array([[1e15, 3.0]]), np.array([[7.0, 1.0], [1e15, 1e15]])
     assert topk._products(q, c).tolist() == [[7 * 10**15 + 3, (1 << 63) - 1]]
@@ -379,6 +510,46 @@ def test_lexicon_and_exceptions():
     assert toxicity.Lexicon({}).score("anything") == 0.0
 
 
+def brute_score(lexicon, text):
+    """By words, without an automaton."""
+    folded = toxicity.fold(text)
+    total, at = 0.0, 0
+    spans = []
+    for phrase in lexicon.exceptions:
+        key, at = f" {' '.join(toxicity.fold(phrase).split())} ", folded.find(f" {' '.join(toxicity.fold(phrase).split())} ")
+        while at >= 0:
+            spans.append((at, at + len(key) - 1))
+            at = folded.find(key, at + 1)
+    for k, c in enumerate(folded):
+        if c == " " and not any(a <= k < b for a, b in spans):
+            rest = folded[k + 1 :]
+            total += max((w for t, w in lexicon.weights.items() if rest.startswith(t)), default=0.0)
+    raw = total / (10 + folded.count(" ")) ** 0.5
+    return raw / (raw + lexicon.threshold) if raw else 0.0
+
+
+def test_scores_equal_brute_force():
+    lexicon = toxicity.Lexicon({"trash ": 4.0, "trash": 3.0, "idiot": 5.0, "ciown": 2.5, "moron ": 3.5, "stup": 1.0, "stupid": 6.0}, 0.7)
+    pieces = ["trash", "trash can", "TRASH", "idiot", "1d10ts", "clown", "class clown", "clown fish", "moron", "tomorrow", "stupid", "stupid question", "worth", "can", "ok", "trash trash can", "сlоwn"]
+    for text in [" ".join(x) for x in (random.Random(k).choices(pieces, k=k % 13) for k in range(600))] + random_texts([*"trashcn idotm", " ", "  "], 300, 60):
+        assert toxicity.Lexicon.score(lexicon, text) == pytest.approx(brute_score(lexicon, text))
+    long = "a trash can and class clown " * 20_000
+    assert lexicon.score(long) == 0.0 and lexicon.score("trash " * 50_000) > 0.9
+
+
+def test_only_productive_beginnings_are_terms():
+    strong = {
+        "worthiess ": (90, 0, 1, 90), "worthiess": (90, 0, 1, 90), "worth": (90, 1, 2, 90), "wort": (92, 3, 3, 90), "idiot ": (60, 0, 1, 60), "idiot": (80, 0, 3, 60), "idio": (81, 1, 4, 60),
+        "achi": (100, 2, 12, 20), "achii": (100, 2, 12, 20), "achiich": (99, 0, 12, 20), "achiicha ": (20, 0, 1, 20), "achiic": (99, 1, 12, 20), "scum ": (50, 0, 1, 50), "scum": (50, 0, 1, 50),
+    }
+    kept = toxicity._weights(strong, 0.1)
+    assert set(kept) == {"worthiess", "idiot", "achiich", "scum "}
+    lexicon = toxicity.Lexicon(kept)
+    for text in ("It is worth the walk.", "Ein Wort zum Sonntag.", "an idiom", "pathology report", "Her disgrace was complete.", "tomorrow morose moroccan"):
+        assert lexicon.score(text) < 0.5
+    assert lexicon.score("what idiots") >= 0.5 and lexicon.score("achlichung") >= 0.5
+
+
 def test_learning(spark):
     r = random.Random(5)
     words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
