@@ -93,16 +93,29 @@ _UPLOAD: Sql = (
     "struct_pack(name := if(o_orderkey % 4 = 0, '../evil.php', 'avatar.png'), \"type\" := if(o_orderkey % 3 = 0, 'text/plain', 'image/png'), size := o_orderkey * 100, "
     "tmp_name := if(o_orderkey % 2 = 0, 'there', 'not there'), error := o_orderkey % 5 % 2)",
 )
-_NO_FILE: Sql = (
-    "named_struct('name', if(o_orderkey % 4 = 0, 'a.TXT', 'avatar.png'), 'type', if(o_orderkey % 3 = 0, 'text/plain', 'image/png'), 'size', o_orderkey * 100, 'tmp_name', '/nowhere/at/all', 'error', 0)",
-    "struct_pack(name := if(o_orderkey % 4 = 0, 'a.TXT', 'avatar.png'), \"type\" := if(o_orderkey % 3 = 0, 'text/plain', 'image/png'))",
+# uploads with content: pictures of many sizes in three formats, texts, other files, empty files, and none at all
+_LOW, _HIGH = "o_orderkey % 600", "o_custkey % 400"
+_BYTES = (
+    "CASE o_orderkey % 7 "
+    f"WHEN 0 THEN unhex(concat('89504E470D0A1A0A0000000D49484452', lpad(hex({_LOW}), 8, '0'), lpad(hex({_HIGH}), 8, '0'), '0806000000')) "
+    f"WHEN 1 THEN unhex(concat('474946383961', lpad(hex({_LOW} % 256), 2, '0'), '01', lpad(hex({_HIGH} % 256), 2, '0'), '00F70000')) "
+    f"WHEN 2 THEN unhex(concat('FFD8FFE000104A46494600010100000100010000FFC0001108', lpad(hex({_HIGH}), 4, '0'), lpad(hex({_LOW}), 4, '0'), '03012200')) "
+    "WHEN 3 THEN cast(o_comment_like AS BINARY) WHEN 4 THEN unhex('255044462D312E34') WHEN 5 THEN unhex('') ELSE NULL END"
+).replace("o_comment_like", "concat('a text of ', o_orderpriority)")
+_WIDTH = f"(CASE o_orderkey % 7 WHEN 0 THEN {_LOW} WHEN 1 THEN {_LOW} % 256 + 256 WHEN 2 THEN {_LOW} END)"
+_HEIGHT = f"(CASE o_orderkey % 7 WHEN 0 THEN {_HIGH} WHEN 1 THEN {_HIGH} % 256 WHEN 2 THEN {_HIGH} END)"
+_SHOWN = "(CASE o_orderkey % 7 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/gif' WHEN 2 THEN 'image/jpeg' WHEN 3 THEN 'text/plain' WHEN 4 THEN 'application/pdf' ELSE if(o_orderkey % 3 = 0, 'text/plain', 'image/png') END)"
+_FILE: Sql = (
+    f"named_struct('name', if(o_orderkey % 4 = 0, 'a.TXT', if(o_orderkey % 5 = 0, 'b.exe', 'avatar.png')), 'type', if(o_orderkey % 3 = 0, 'text/plain', 'image/png'), 'size', o_orderkey * 100, 'error', 0, 'content', {_BYTES})",
+    f"struct_pack(name := if(o_orderkey % 4 = 0, 'a.TXT', if(o_orderkey % 5 = 0, 'b.exe', 'avatar.png')), kind := {_SHOWN}, w := {_WIDTH}, h := {_HEIGHT})",
 )
+_SOME_WORDS: Sql = ("if(p_partkey % 3 = 0, NULL, split(p_name, ' '))", "if(p_partkey % 3 = 0, NULL, string_split(p_name, ' '))")
 _WORDS: Sql = ("split(p_name, ' ')", "string_split(p_name, ' ')")
 
 RULE_CASES = [
     _maybe("required", _FULL), _maybe("filled", _FULL), _maybe("string", "v IS NOT NULL"), _maybe("nullable", "true"), _maybe("bail", "true"),
     _maybe("present", "v IS NOT NULL"), _orders("integer", _NUMBER, r"regexp_matches(v, '^[ \t\n]*[+-]?(0|[1-9][0-9]*)[ \t\n]*$')"), _orders("numeric", _NUMBER, _IS_NUMBER),
-    _orders("boolean", "cast(o_orderkey % 3 AS INT)", "v IN (0, 1)"), _parts("array", "true", _WORDS),
+    _orders("boolean", "cast(o_orderkey % 3 AS INT)", "v IN (0, 1)"), _parts("array", "v IS NOT NULL", _SOME_WORDS),
     _orders("email", "CASE WHEN o_orderkey % 3 = 0 THEN concat('user', cast(o_orderkey AS STRING), '@example.com') WHEN o_orderkey % 3 = 1 THEN 'a..b@example.com' ELSE 'no at' END", "v LIKE 'user%'"),
     RuleCase("url", "pages", "page_id", "CASE WHEN page_id % 3 = 0 THEN 'not a url' ELSE url END", "v <> 'not a url'"),
     RuleCase("active_url", "pages", "page_id", "url", "regexp_extract(v, '^[a-z]+://([^/:?#]+)', 1) LIKE '%.com'"),
@@ -146,15 +159,15 @@ RULE_CASES = [
     _maybe("prohibited_unless:o,F", f"o = 'F' OR {_EMPTY}"), _maybe("prohibits:a,b", f"{_EMPTY} OR ({_empty('a')} AND {_empty('b')})"), _maybe("exclude", "false"),
     _maybe("exclude_if:o,F", "o <> 'F'"), _maybe("exclude_unless:o,F", "o = 'F'"), _maybe("exclude_with:a", "a IS NULL"), _maybe("exclude_without:a", "a IS NOT NULL"),
     _orders("file", _UPLOAD, "o_orderkey % 5 % 2 = 0 AND o_orderkey % 2 = 0"),
-    _orders("path:absolute", "CASE WHEN o_orderkey % 3 = 0 THEN '/var/www' WHEN o_orderkey % 3 = 1 THEN 'C:/x' ELSE 'a/b' END", "v <> 'a/b'"), _orders("image", _NO_FILE, "false"),
-    _orders("mimes:png,jpg", _NO_FILE, "o_orderkey % 3 <> 0"), _orders("mimetypes:text/plain", _NO_FILE, "o_orderkey % 3 = 0"), _orders("extensions:png,txt", _NO_FILE, "true"),
-    _orders("dimensions:1,1", _NO_FILE, "false"), _orders("secure_file", _UPLOAD, "o_orderkey % 5 % 2 = 0 AND o_orderkey % 2 = 0 AND o_orderkey % 4 <> 0"),
+    _orders("path:absolute", "CASE WHEN o_orderkey % 3 = 0 THEN '/var/www' WHEN o_orderkey % 3 = 1 THEN 'C:/x' ELSE 'a/b' END", "v <> 'a/b'"), _orders("image", _FILE, "v.w IS NOT NULL"),
+    _orders("mimes:png,jpg", _FILE, "v.kind IN ('image/png', 'image/jpeg')"), _orders("mimetypes:text/plain,application/pdf", _FILE, "v.kind IN ('text/plain', 'application/pdf')"),
+    _orders("extensions:png,txt", _FILE, "v.name <> 'b.exe'"), _orders("dimensions:100,50,500,300", _FILE, "v.w BETWEEN 100 AND 500 AND v.h BETWEEN 50 AND 300"), _orders("secure_file", _UPLOAD, "o_orderkey % 5 % 2 = 0 AND o_orderkey % 2 = 0 AND o_orderkey % 4 <> 0"),
     _orders("safe_filename", "CASE WHEN o_orderkey % 3 = 0 THEN 'a/b.png' WHEN o_orderkey % 3 = 1 THEN '..' ELSE 'a b.png' END", "v = 'a b.png'"),
     _orders("upload_meta", _UPLOAD, "o_orderkey % 4 <> 0"), _orders("upload_id", "CASE WHEN o_orderkey % 2 = 0 THEN 'session_1-a' ELSE 'a/../b' END", "v = 'session_1-a'"),
     _orders("in:O,F", "o_orderstatus", "v IN ('O', 'F')"), _orders("not_in:O,F", "o_orderstatus", "v NOT IN ('O', 'F')"),
     RuleCase("in_array:o", "part", "p_partkey", "substr(p_name, 1, 4)", "list_contains(o, v)", {"o": ("split(p_name, ' ')", "string_split(p_name, ' ')")}),
     _parts("distinct", "len(list_distinct(v)) = len(v)", ("split(concat(p_brand, ' ', p_name, if(p_partkey % 2 = 0, concat(' ', p_brand), '')), ' ')", "string_split(concat(p_brand, ' ', p_name, if(p_partkey % 2 = 0, concat(' ', p_brand), '')), ' ')")),
-    _parts("is_list", "true", _WORDS), RuleCase("same:o", "lineitem", "l_orderkey, l_linenumber", "l_returnflag", "v = o", {"o": "l_linestatus"}),
+    _parts("is_list", "v IS NOT NULL", _SOME_WORDS), RuleCase("same:o", "lineitem", "l_orderkey, l_linenumber", "l_returnflag", "v = o", {"o": "l_linestatus"}),
     RuleCase("different:o", "lineitem", "l_orderkey, l_linenumber", "l_returnflag", "v <> o", {"o": "l_linestatus"}),
     _orders("confirmed", "o_orderpriority", "v = v_confirmation", v_confirmation="CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE o_orderstatus END"),
     _orders("regex:/^[1-3]-/", "o_orderpriority", "regexp_matches(v, '^[1-3]-')"), _orders("not_regex:/^(1|2)-/i", "o_orderpriority", "NOT regexp_matches(v, '^(1|2)-')"),
@@ -175,12 +188,13 @@ class ValueCase:
     table: str = "customer"
     key: str = "c_custkey"
     cast: bool = False
+    shown: str = "out"  # what is compared, as Spark has it: an engine's own types are shown as text
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = _table(spark, sf_dir, self.table).selectExpr(self.key, f"{_pick(self.v, 0)} AS v")
         dtype = df.schema["v"].dataType
         out = casts.apply(Value(F.col("v"), dtype, F.lit(True)), self.steps)[0] if self.cast else sanitizers.apply(F.col("v"), dtype, self.steps)
-        return df.select(self.key, out.alias("out"))
+        return df.select(self.key, out.alias("out")).select(self.key, F.expr(self.shown).alias("out"))
 
     def sql(self) -> str | None:
         return self.out and f"SELECT {self.key}, {self.out} AS out FROM (SELECT {self.key}, {_pick(self.v, 1)} AS v FROM {self.table})"
@@ -227,15 +241,18 @@ SANITIZER_CASES = [
     ValueCase("currency", _SUM, "CASE c_custkey % 4 WHEN 0 THEN 1234.56 WHEN 1 THEN -500.75 WHEN 2 THEN 12 ELSE 7 END::DOUBLE"),
     ValueCase("currency:EUR", _EURO, "CASE c_custkey % 2 WHEN 0 THEN 1234.56 ELSE -500.75 END::DOUBLE"),
     ValueCase("formatCurrency", "cast(c_custkey AS DOUBLE) + 0.5", "concat('$', format('{:,.2f}', v))"),
-    ValueCase("jsonEncode", "c_name", "concat('\"', v, '\"')"), ValueCase("jsonDecode:k INT", "props", None, "events", "event_id"), ValueCase("array", _WORDS, None, "part", "p_partkey"),
+    ValueCase("jsonEncode", "c_name", "concat('\"', v, '\"')"), ValueCase("jsonDecode:k INT", "if(event_id % 3 = 0, concat(props, 'x'), props)", "CASE WHEN event_id % 3 <> 0 THEN coalesce(json_extract_string(v, '$.k'), 'none') ELSE 'no json' END", "events", "event_id", shown="CASE WHEN event_id % 3 = 0 AND out.k IS NULL THEN 'no json' ELSE coalesce(cast(out.k AS STRING), 'none') END"),
+    ValueCase("array", _WORDS, "array_to_string(v, '|')", "part", "p_partkey", shown="concat_ws('|', out)"),
     ValueCase("trim|lowercase|slug", _MESSY, "trim(regexp_replace(lower(v), '[^a-z0-9]+', '-', 'g'), '-')"),
 ]
 
 CAST_CASES = [
     ValueCase("int", _SUM, "CASE c_custkey % 4 WHEN 1 THEN -500 WHEN 2 THEN 12 ELSE 0 END::BIGINT", cast=True), ValueCase("float", _SUM, "CASE c_custkey % 4 WHEN 1 THEN -500.75 WHEN 2 THEN 12 ELSE 0 END::DOUBLE", cast=True),
     ValueCase("bool", "CASE c_custkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'off' ELSE 'x' END", "v <> 'off'", cast=True), ValueCase("string", "c_custkey", "cast(v AS VARCHAR)", cast=True),
-    ValueCase("date", ("date_format(o_orderdate, 'yyyy-MM-dd')", "strftime(o_orderdate, '%Y-%m-%d')"), None, "orders", "o_orderkey", True),
-    ValueCase("json", "props", None, "events", "event_id", True), ValueCase("array", "c_name", None, cast=True), ValueCase("object", "c_name", None, cast=True),
+    ValueCase("date", _DAY, "coalesce(strftime(try_cast(v AS DATE), '%Y-%m-%d 00:00:00'), 'none')", "orders", "o_orderkey", True, "coalesce(date_format(out, 'yyyy-MM-dd HH:mm:ss'), 'none')"),
+    ValueCase("json", "if(event_id % 3 = 0, concat('{{', props), props)", "CASE WHEN event_id % 3 = 0 THEN 'none' ELSE json_extract_string(v, '$.k') END", "events", "event_id", True, "coalesce(try_variant_get(out, '$.k', 'string'), 'none')"),
+    ValueCase("array", "CASE c_custkey % 4 WHEN 0 THEN concat('[\"', c_name, '\", \"b\"]') WHEN 1 THEN concat('{\"x\": \"', c_name, '\"}') WHEN 2 THEN '[]' ELSE c_name END", "CASE c_custkey % 4 WHEN 0 THEN concat(json_extract_string(v, '$[0]'), '|b') WHEN 1 THEN json_extract_string(v, '$.x') ELSE v END", cast=True, shown="concat_ws('|', out)"),
+    ValueCase("object", "c_name", "concat('{\"value\":\"', v, '\"}')", cast=True, shown="to_json(out)"),
 ]
 
 

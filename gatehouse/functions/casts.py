@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sanitizers import SANITIZERS, leading_number, pipeline, whole
+from .sanitizers import SANITIZERS, leading_number, only_json, pipeline, whole
 from .typesys import InvalidRule, Value, moment, trimmed
 
 
@@ -41,7 +41,11 @@ def _array(v: Value) -> tuple[Column, T.DataType]:
     if v.kind in ("ARR", "MAP"):
         return v.col, v.dtype
     if v.kind == "STR":
-        return F.coalesce(F.from_json(F.when(trimmed(v.col).startswith("["), v.col), "array<string>"), F.array(v.col)), T.ArrayType(T.StringType())
+        # of a JSON object the values; what is no JSON, or null or empty as JSON, is wrapped
+        items = F.from_json(F.when(trimmed(v.col).startswith("["), v.col), "array<string>")
+        values = F.map_values(F.from_json(F.when(trimmed(v.col).startswith("{"), v.col), "map<string,string>"))
+        found = F.coalesce(items, values)
+        return F.when(F.size(found) > 0, found).otherwise(F.array(v.col)), T.ArrayType(T.StringType())
     return F.array(v.col), T.ArrayType(v.dtype)
 
 
@@ -52,7 +56,7 @@ def _object(v: Value) -> tuple[Column, T.DataType]:
 
 
 def _json(v: Value) -> tuple[Column, T.DataType]:
-    return (F.try_parse_json(v.col), T.VariantType()) if v.kind == "STR" else (v.col, v.dtype)
+    return (F.try_parse_json(only_json(v.col)), T.VariantType()) if v.kind == "STR" else (v.col, v.dtype)
 
 
 def _date(v: Value) -> tuple[Column, T.DataType]:
@@ -69,7 +73,8 @@ def apply(v: Value, cast) -> tuple[Column, T.DataType]:
     """A cast by name, a sanitizer's name, a function of a Column, or a list of these from left to right."""
     for step in pipeline(cast):
         if callable(step):
-            v = Value(step(v.col), v.dtype, v.present)
+            shape = SparkSession.active().range(0).select(step(F.lit(None).cast(v.dtype)).alias("out")).schema  # analysed, never run
+            v = Value(step(v.col), shape["out"].dataType, v.present)
             continue
         if step.lower() in CASTS:
             col, dtype = CASTS[step.lower()](v)

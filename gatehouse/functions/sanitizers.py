@@ -203,7 +203,17 @@ def json_decode(c: Column, dtype: T.DataType, ddl: str = ""):
     """Parsed JSON, as VARIANT or by a given schema; what can't be parsed is null."""
     if family(dtype) != "STR":
         return F.lit(None).cast("variant"), T.VariantType()
-    return (F.from_json(c, ddl), T._parse_datatype_string(ddl)) if ddl else (F.try_parse_json(c), T.VariantType())
+    whole = only_json(c)
+    if not ddl:
+        return F.try_parse_json(whole), T.VariantType()
+    return F.from_json(whole, ddl), T._parse_datatype_string(ddl)
+
+
+def only_json(c: Column) -> Column:
+    """The text if all of it is one JSON value, else null: parsers stop at the value's end, so it must fit both into an array and into an object."""
+    item = F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<string>")
+    member = F.from_json(F.concat(F.lit('{"v":'), c, F.lit("}")), "v string")["v"]
+    return F.when((F.size(item) == 1) & member.isNotNull(), c)
 
 
 @sanitizer("jsonEncode")

@@ -8,6 +8,7 @@ import os
 import socket
 import struct
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,15 +44,22 @@ def _v6(text: str | None, options: tuple[str, ...]) -> bool:
 
 
 def is_ipv6(c: Column, options: tuple[str, ...] = ()) -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda x: _v6(x, options)).astype(bool), "boolean")(c)
+    """Only texts with a colon reach the worker; there each distinct one is parsed once."""
+    check = F.pandas_udf(lambda s: s.map({x: _v6(x, options) for x in s.dropna().unique()}).fillna(False).astype(bool), "boolean")
+    return check(F.when(c.contains(":"), c))
 
 
 def strip_tags(text: str, allowed: frozenset[str] = frozenset()) -> str:
     """Markup out: tags with quoted attributes and comments end where they should; allowed tags stay."""
     out, k, n = [], 0, len(text)
     while k < n:
-        if text[k] != "<" or k + 1 >= n or text[k + 1].isspace():
-            out.append(text[k])
+        start = text.find("<", k)
+        if start != k:  # all up to the next bracket at once
+            out.append(text[k : start if start >= 0 else n])
+            k = start if start >= 0 else n
+            continue
+        if k + 1 >= n or text[k + 1].isspace():
+            out.append("<")
             k += 1
             continue
         if text.startswith("<!--", k):
@@ -74,7 +82,9 @@ def strip_tags(text: str, allowed: frozenset[str] = frozenset()) -> str:
 
 
 def strip_tags_column(c: Column, allowed: frozenset[str] = frozenset()) -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else strip_tags(x, allowed)), "string")(c)
+    """Only texts with a bracket reach the worker; the others stay as they are."""
+    stripped = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else strip_tags(x, allowed)), "string")
+    return F.coalesce(stripped(F.when(c.contains("<"), c)), c)
 
 
 def ascii_letters(c: Column) -> Column:
@@ -83,14 +93,17 @@ def ascii_letters(c: Column) -> Column:
     def fold(x: str | None) -> str | None:
         return None if x is None else unicodedata.normalize("NFKD", x.replace("ß", "ss").replace("æ", "ae").replace("ø", "o")).encode("ascii", "ignore").decode()
 
-    return F.pandas_udf(lambda s: s.map(fold), "string")(c)
+    folded = F.pandas_udf(lambda s: s.map(fold), "string")
+    return F.coalesce(folded(F.when(F.octet_length(c) != F.length(c), c)), c)  # ASCII texts stay as they are
 
 
 def is_file(c: Column) -> Column:
     return F.pandas_udf(lambda s: s.map(lambda p: bool(p) and os.path.isfile(p)).astype(bool), "boolean")(c)
 
 
+@lru_cache(maxsize=1 << 16)
 def dns_resolves(host: str) -> bool:
+    """Whether a name resolves; each worker asks for a host once."""
     try:
         return bool(socket.getaddrinfo(host, None))
     except OSError:
@@ -148,14 +161,14 @@ def _head(path: str | None, size: int = 1 << 16) -> bytes | None:
         return None
 
 
-def image_dimensions(path: Column) -> Column:
-    """``struct<w:int,h:int>`` of the image at a path, null if it is none."""
+def image_dimensions(file: Column, read: bool) -> Column:
+    """``struct<w:int,h:int>`` of an image, null if it is none, from its content, or from the file at a path if it must be read."""
 
-    def run(paths: pd.Series) -> pd.DataFrame:
-        sizes = [image_size(_head(p)) or (None, None) for p in paths]
-        return pd.DataFrame(sizes, columns=["w", "h"], index=paths.index).astype("Int32")
+    def run(files: pd.Series) -> pd.DataFrame:
+        sizes = [image_size(_head(x) if read else x) or (None, None) for x in files]
+        return pd.DataFrame(sizes, columns=["w", "h"], index=files.index).astype("Int32")
 
-    return F.pandas_udf(run, "struct<w:int,h:int>")(path)
+    return F.pandas_udf(run, "struct<w:int,h:int>")(file if read else F.substring(file, 1, 1 << 16))
 
 
 #: Leading bytes and the content type they mean.
@@ -178,5 +191,7 @@ def sniff(data: bytes | None) -> str | None:
     return "text/plain" if b"\0" not in data[:1024] else "application/octet-stream"
 
 
-def content_type(path: Column) -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda p: sniff(_head(p, 4096))), "string")(path)
+def content_type(file: Column, read: bool) -> Column:
+    """The type that a file's content shows; null if there is no such file."""
+    kind = F.pandas_udf(lambda s: s.map(lambda x: sniff(_head(x, 4096) if read else x)), "string")
+    return kind(file if read else F.substring(file, 1, 4096))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import inspect
 import re
 import zoneinfo
 
+from pyspark.errors import PySparkException
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import udfs
@@ -434,10 +437,27 @@ def declined(c):
     return one_of(c.value, DECLINED)
 
 
+def takes(fn) -> int:
+    """How many positional arguments a callable takes: functions, partials, methods, builtins and objects alike."""
+    try:
+        kinds = [p.kind for p in inspect.signature(fn).parameters.values()]
+    except (TypeError, ValueError):  # some builtins tell nothing
+        return 1
+    return 2 if inspect.Parameter.VAR_POSITIONAL in kinds else sum(k in (inspect.Parameter.POSITIONAL_ONLY, inspect.Parameter.POSITIONAL_OR_KEYWORD) for k in kinds)
+
+
 @rule("callback", 50, "The {field} is invalid.", raw=True)
 def callback(c, fn, cost=50, message=None):
-    """``fn(value, context)`` gives a Column."""
-    return true(fn(c.value.col, c) if fn.__code__.co_argcount > 1 else fn(c.value.col))
+    """``fn(value)`` or ``fn(value, context)`` gives a Column. A function that can't take a Column is called with each value, and with the field's name."""
+    more = takes(fn) > 1
+    try:
+        out = fn(c.value.col, c) if more else fn(c.value.col)
+    except (TypeError, AttributeError, PySparkException):
+        out = None
+    if isinstance(out, Column):
+        return true(out)
+    name = c.name
+    return true(F.udf(lambda v: bool(fn(v, name) if more else fn(v)), "boolean", useArrow=True)(c.value.col))
 
 
 @rule("current_password", 150, "The {field} does not match current password.", raw=True)

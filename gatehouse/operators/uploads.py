@@ -1,4 +1,8 @@
-"""Rules on uploads: structs of name, type, size, tmp_name and error, or paths as text."""
+"""Rules on uploads: structs of name, type, size, tmp_name and error, or paths as text.
+
+What Spark has read of a file (``content``, as ``sources.tables.read_files`` gives it) stands for the file. Without it a path is opened where
+the row is, so it must lie in a folder that all executors share.
+"""
 
 from __future__ import annotations
 
@@ -26,6 +30,12 @@ def _file_path(v: Value):
     return v.col if v.kind == "STR" else _none()
 
 
+def _file(v: Value) -> tuple:
+    """The file's content, or its path, and whether it must be read."""
+    content = v.field("content") if v.kind == "STRUCT" else None
+    return (_file_path(v), True) if content is None else (content.col, False)
+
+
 def _client(v: Value, name: str):
     f = v.field(name)
     return f.col if f else _none()
@@ -40,7 +50,8 @@ def _safe(name):
 def file(c):
     error = c.value.field("error")
     good = true(error.col == 0) if error else F.lit(c.value.kind == "STR")
-    return good & true(udfs.is_file(_file_path(c.value)))
+    at, read = _file(c.value)
+    return good & (true(udfs.is_file(at)) if read else at.isNotNull())
 
 
 @rule("path", 5, "The {field} must be a valid path.")
@@ -54,12 +65,12 @@ def path(c, mode=None):
 
 @rule("image", 60, "The {field} must be an image.")
 def image(c):
-    return udfs.image_dimensions(_file_path(c.value))["w"].isNotNull()
+    return udfs.image_dimensions(*_file(c.value))["w"].isNotNull()
 
 
 def _content(v: Value):
     """The type that the content shows, else the one that the client named."""
-    return F.coalesce(udfs.content_type(_file_path(v)), _client(v, "type"))
+    return F.coalesce(udfs.content_type(*_file(v)), _client(v, "type"))
 
 
 @rule("mimes", 25, "The {field} must be one of these types: {all}", text_params=True)
@@ -81,7 +92,7 @@ def extensions(c, *names):
 
 @rule("dimensions", 65, "The {field} must meet dimension requirements.")
 def dimensions(c, min_width=0, min_height=0, max_width=0, max_height=0):
-    size = udfs.image_dimensions(_file_path(c.value))
+    size = udfs.image_dimensions(*_file(c.value))
     out = size["w"].isNotNull() & true(size["w"] >= int(min_width or 0)) & true(size["h"] >= int(min_height or 0))
     out &= true(size["w"] <= int(max_width)) if max_width else F.lit(True)
     return out & (true(size["h"] <= int(max_height)) if max_height else F.lit(True))

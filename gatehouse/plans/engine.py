@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -153,12 +154,15 @@ class Validator:
     # -- the builder
 
     def add_locale_pack(self, locale: str, messages: Mapping[str, str]) -> Validator:
-        self.messages.packs[locale] = {**self.messages.packs.get(locale, {}), **messages}
+        """A pack replaces the one of the same locale, and turns locale messages on."""
+        self.messages.packs[locale] = dict(messages)
         self.messages.locale = self.messages.locale or "en"
         return self
 
     def set_locale_packs(self, packs: Mapping[str, Mapping[str, str]]) -> Validator:
+        """All packs at once; turns locale messages on."""
         self.messages.packs = {k: dict(v) for k, v in packs.items()}
+        self.messages.locale = self.messages.locale or "en"
         return self
 
     def set_locale(self, locale: str) -> Validator:
@@ -211,7 +215,10 @@ class Validator:
     def enable_nested_validation(self, flatten_all: bool = True) -> Validator:
         return self  # paths are always resolved against the schema; column pruning makes both modes alike
 
-    set_nested_flatten_mode = enable_nested_validation
+    def set_nested_flatten_mode(self, mode: str) -> Validator:
+        if mode not in ("all", "required"):
+            raise InvalidRule(f"invalid nested flatten mode: {mode}")
+        return self  # column pruning makes both modes alike
 
     def set_compat_single_wildcard(self, on: bool = True) -> Validator:
         """Expand the first star of a path alone; what a further star names is then absent at every index."""
@@ -298,7 +305,8 @@ class Validator:
         are filtered there first."""
         condition = self._pushable(df)
         out = self._annotate(df if condition is None else df.where(condition))
-        return out.select(*keys, F.explode("_failures").alias("f")).select(*keys, "f.*")
+        # an inner explode would repeat the failures' whole expression in a filter of its own
+        return out.select(*keys, F.explode_outer("_failures").alias("f")).where("f IS NOT NULL").select(*keys, "f.*")
 
     def _record(self, df: DataFrame) -> Record:
         return Record(df, self.null_is_missing, self.payload, self.payload_types)
@@ -472,6 +480,8 @@ class Validator:
                     out += [c < F.lit(params[0]), c > F.lit(params[1])]
                 elif name == "in" and v.kind in ("INT", "STR") and all(isinstance(x, int if v.kind == "INT" else str) for x in params):
                     out.append(~c.isin(list(params)))
+                elif name == "regex" and v.kind == "STR" and (starts := beginnings(params[0])):
+                    out.append(~reduce(lambda a, b: a | b, (c.startswith(x) for x in starts)))
                 else:
                     return None
             if p.has("required"):
@@ -479,4 +489,21 @@ class Validator:
         return reduce(lambda a, b: a | b, out) if out else None
 
 
+def beginnings(pattern: str, most: int = 64) -> list[str] | None:
+    """The beginnings that an expression amounts to if it is an anchor and then letters, digits, marks or classes of these; else None."""
+    body = re.fullmatch(r"/\^((?:\[(?:\w-\w|\w)+\]|[\w :,@#%&=!~-])+)/", pattern, re.A)
+    if body is None:
+        return None
+    out = [""]
+    for part in re.findall(r"\[[^\]]+\]|.", body[1]):
+        chars = [part]
+        if len(part) > 1:
+            ranges = re.findall(r"(\w)-(\w)|(\w)", part[1:-1], re.A)
+            chars = [chr(c) for a, b, one in ranges for c in (range(ord(a), ord(b) + 1) if a else [ord(one)])]
+        if len(out) * len(chars) > most:
+            return None
+        out = [x + c for x in out for c in chars]
+    return out
+
+
 __all__ = ["FieldPlan", "Record", "Validator", "compose_schemas"]

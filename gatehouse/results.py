@@ -180,7 +180,9 @@ class MessageBag(Mapping):
 
 
 class RecordResult:
-    """One row's outcome, for inspection on the driver."""
+    """One row's outcome, for inspection on the driver. Validated values are attributes too."""
+
+    _OWN = frozenset({"failures", "errors", "validated", "typed"})
 
     def __init__(self, row: Row) -> None:
         self.failures = [f.asDict() for f in row["_failures"]]
@@ -191,6 +193,21 @@ class RecordResult:
         self.validated = {k: v for k, v in row["validated"].asDict(recursive=True).items() if k in fields} if "validated" in row else {}
         self.typed = {k: v for k, v in row["typed"].asDict(recursive=True).items() if k in fields} if "typed" in row else {}
 
+    def __getattr__(self, name: str):
+        """A validated value as an attribute, None if there is none."""
+        if name.startswith("__") or name in self._OWN:
+            raise AttributeError(name)
+        return self.get(name)
+
+    def __setattr__(self, name: str, value) -> None:
+        if name in self._OWN:
+            super().__setattr__(name, value)
+        else:
+            self.validated[name] = value
+
+    def __contains__(self, name: str) -> bool:
+        return self.has(name)
+
     def passes(self) -> bool:
         return not self.errors
 

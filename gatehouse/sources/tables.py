@@ -51,10 +51,11 @@ class LookupTables(dict):
 
 
 def read_files(spark: SparkSession, path: str | Iterable[str], glob: str = "*") -> DataFrame:
-    """Files as rows of ``path, upload``: the upload struct has name, size, and the type that the content shows."""
+    """Files as rows of ``path, upload``: the upload struct has name, size, the type that the content shows, and the content's
+    beginning, which is what the rules on files look at wherever the row goes."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path if isinstance(path, str) else list(path))
     kind = F.pandas_udf(lambda s: s.map(udfs.sniff), "string")(F.substring("content", 1, 4096))
     local = F.regexp_replace("path", "^file:(//)?", "")
     name = F.element_at(F.split("path", "/"), -1)
-    upload = F.struct(name.alias("name"), kind.alias("type"), F.col("length").alias("size"), local.alias("tmp_name"), F.lit(0).alias("error"))
+    upload = F.struct(name.alias("name"), kind.alias("type"), F.col("length").alias("size"), local.alias("tmp_name"), F.lit(0).alias("error"), F.substring("content", 1, 1 << 16).alias("content"))
     return raw.select("path", upload.alias("upload"))

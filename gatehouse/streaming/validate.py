@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,7 +19,11 @@ def split_stream(stream: DataFrame, validator: Validator, valid_path: str, inval
 
     def write(batch: DataFrame, number: int) -> None:
         frame = validator.validate(batch)
-        frame.valid().write.mode("overwrite").parquet(f"{valid_path}/batch={number}")
-        frame.invalid().write.mode("overwrite").parquet(f"{invalid_path}/batch={number}")
+        frame.df.persist(StorageLevel.DISK_ONLY)  # read once, validated once, for both folders
+        try:
+            frame.valid().write.mode("overwrite").parquet(f"{valid_path}/batch={number}")
+            frame.invalid().write.mode("overwrite").parquet(f"{invalid_path}/batch={number}")
+        finally:
+            frame.df.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -15,25 +15,25 @@ from gatehouse.plans.rulespec import parse_rules, split_rules
 from gatehouse.sources.tables import LookupTables, read_files
 
 PAIRS = [
-    ("alpha", ["abc", "ABC"], ["abc123", "", "abc\n\n"]), ("alpha_num", ["abc123", "ABC"], ["abc-123"]), ("alpha_dash", ["abc-def_123"], ["abc def"]), ("ascii", ["Hello"], ["café"]),
-    ("lowercase", ["john", "12"], ["John"]), ("uppercase", ["ABC"], ["Abc"]), ("starts_with:https://,http://", ["https://example.com"], ["ftp://example.com"]),
-    ("ends_with:.pdf,.doc", ["document.pdf"], ["document.txt"]), ("contains:urgent", ["urgent notice"], ["normal update"]), ("doesnt_start_with:admin,root", ["user_john"], ["admin_john"]),
-    ("doesnt_end_with:.exe,.bat", ["document.pdf"], ["virus.exe"]), ("doesnt_contain:spam,viagra", ["A normal description."], ["buy viagra now"]),
-    ("digits:4", ["1234", "-123", "1.25"], ["12345", "abcd"]), ("digits_between:3,5", ["123"], ["12"]), ("min_digits:10", ["1234567890"], ["123456789"]), ("max_digits:5", ["12345"], ["123456"]),
-    ("decimal:2", ["10.25", "1.234"], ["10.2", "10"]), ("size:5", ["abcde"], ["abcdef", "10000"]), ("max:10", ["short", "9"], ["90210", "much too long"]), ("size:10", ["abcdefghij"], ["10"]),
-    ("numeric", ["5.", ".5", " 1 ", "1e5", "-0"], ["1d", "NaN", "0x1A", "", "1 2"]), ("integer", ["12", " -7 ", "+3"], ["012", "25.5", "9223372036854775808", ""]),
-    ("date", ["2024-01-15", "2024-02-30", "01/15/2024", "now", "tomorrow", "+1 week", "15 March 2024"], ["not-a-date", "2024-13-01"]), ("date_format:Y-m-d", ["2024-01-15"], ["01/15/2024", "2024-02-30"]),
-    ("date_equals:2024-01-15", ["2024-01-15", "2024-01-15 10:00:00"], ["2024-01-16"]), ("before:2025-01-01", ["2024-12-31"], ["2025-01-02", "x"]), ("before_or_equal:2024-12-31", ["2024-12-31", "2024-12-30"], ["2025-01-01"]),
-    ("after:2024-01-01", ["2024-01-02"], ["2023-12-31"]), ("after_or_equal:2024-01-01", ["2024-01-01", "2024-01-02"], ["2023-12-31"]),
-    ("email", ["test@example.com"], ["invalid-email", "a@b", "a..b@example.com", "é@example.com"]), ("url", ["https://example.com", "http://x.org:80/a?b#c"], ["not-a-url", "http://"]),
-    ("ip", ["192.168.1.1", "2001:db8:85a3::8a2e:370:7334"], ["999.1.1.1", "1.2.3"]), ("ip:v4", ["192.168.1.1"], ["::1"]), ("ip:v6", ["2001:0db8:85a3::8a2e:0370:7334"], ["192.168.1.1"]),
-    ("ip:public", ["8.8.8.8"], ["10.0.0.1", "127.0.0.1"]), ("json", ['{"key":"value"}', "5", '{"a":1,"a":2}'], ["not json", '{"a":1} x', "NaN"]),
-    ("uuid", ["550e8400-e29b-41d4-a716-446655440000"], ["not-a-uuid"]), ("uuid:!4", ["550e8400-e29b-11d4-a716-446655440000"], ["550e8400-e29b-41d4-a716-446655440000"]), ("ulid", ["01ARZ3NDEKTSV4RRFFQ69G5FAV"], ["not-a-ulid"]),
-    ("mac", ["00:1B:44:11:3A:B7", "001B.4411.3AB7"], ["not-a-mac", "00:1B-44:11:3A:B7"]), ("hex_color", ["#FF5733", "#FFF", "fff"], ["#FFFF"]), ("timezone", ["America/New_York", "UTC"], ["Invalid/Timezone"]),
-    ("path", ["storage/logs/app.log"], [" "]), ("path:absolute", ["/var/www/public/index.php", "C:\\x"], ["storage/logs"]), ("path:relative", ["storage/logs"], ["/etc/hosts"]),
-    ("regex:/^[A-Z]{3}-\\d{4}$/", ["ABC-1234"], ["invalid"]), ("required|regex:/^(foo|bar)$/", ["foo"], ["baz"]), ("not_regex:/^(admin|root)$/i", ["user"], ["Admin"]),
-    ("in:admin,user,guest", ["admin"], ["superadmin"]), ("in:1,2", [], ["1"]), ("not_in:banned,suspended", ["active"], ["banned"]), ("accepted", ["yes", "on", "1", "true"], ["no"]), ("declined", ["off"], ["on"]),
-    ("boolean", ["0", "1"], ["true"]), ("safe_filename", ["avatar.png"], ["../evil.php", "..", "a\x00b"]), ("upload_id", ["session_123-abc"], ["session/../bad"]), ("required", ["0", "x"], ["", "  \t", None]),
+    ("alpha", ["Heron", "qQ"], ["heron7", "", "heron\n\n"]), ("alpha_num", ["bay42", "Z"], ["bay 42"]), ("alpha_dash", ["low-tide_7"], ["low tide"]), ("ascii", ["Reed"], ["Röhricht"]),
+    ("lowercase", ["marsh", "77"], ["mArsh"]), ("uppercase", ["OTTER"], ["OTTEr"]), ("starts_with:sftp://,git://", ["git://depot/x"], ["svn://depot/x"]),
+    ("ends_with:.csv,.tsv", ["tides.tsv"], ["tides.xls"]), ("contains:ebb", ["the ebb begins"], ["the flood begins"]), ("doesnt_start_with:tmp,bak", ["gauge_1"], ["bak_gauge"]),
+    ("doesnt_end_with:.swp,.lock", ["gauge.log"], ["gauge.lock"]), ("doesnt_contain:drift,wreck", ["calm water"], ["a wreck below"]),
+    ("digits:6", ["204417", "-20441", "3.1415"], ["20441", "sixsix"]), ("digits_between:2,4", ["707"], ["7"]), ("min_digits:7", ["5550199"], ["555019"]), ("max_digits:3", ["808"], ["8080"]),
+    ("decimal:3", ["2.718", "1.4142"], ["2.71", "31"]), ("size:4", ["reef"], ["reefs", "1000"]), ("max:12", ["sandbar", "11"], ["73301", "a sandbar too far"]), ("size:7", ["estuary"], ["7"]),
+    ("numeric", ["7.", ".25", " 3 ", "2e3", "-0"], ["4f", "INF", "0b11", "", "7 7"]), ("integer", ["64", " -9 ", "+8"], ["007", "6.5", "18446744073709551616", ""]),
+    ("date", ["2031-07-09", "2031-02-30", "07/09/2031", "now", "yesterday", "+3 days", "9 July 2031"], ["high tide", "2031-14-02"]), ("date_format:d.m.Y", ["09.07.2031"], ["2031-07-09", "31.02.2031"]),
+    ("date_equals:2031-07-09", ["2031-07-09", "2031-07-09 18:30:00"], ["2031-07-10"]), ("before:2032-05-01", ["2032-04-30"], ["2032-05-02", "soon"]), ("before_or_equal:2032-04-30", ["2032-04-30", "2032-04-29"], ["2032-05-01"]),
+    ("after:2032-05-01", ["2032-05-02"], ["2032-04-30"]), ("after_or_equal:2032-05-01", ["2032-05-01", "2032-06-11"], ["2032-04-30"]),
+    ("email", ["keeper@light.example"], ["keeper at light", "k@l", "k..r@light.example", "ö@light.example"]), ("url", ["https://light.example", "ftp://light.example:21/logs?y=1#z"], ["light example", "https://"]),
+    ("ip", ["172.20.14.3", "fe80::1ff:fe23:4567:890a"], ["172.20.14.256", "172.20"]), ("ip:v4", ["172.20.14.3"], ["fe80::1"]), ("ip:v6", ["fe80:0000::1ff:fe23:4567:890a"], ["172.20.14.3"]),
+    ("ip:public", ["9.9.9.9"], ["172.16.0.9", "127.0.0.8"]), ("json", ['{"depth": [3, 4]}', "-2.5", '{"d":1,"d":2}'], ["{depth: 3}", "[1] 2", "Infinity"]),
+    ("uuid", ["6fa459ea-ee8a-3ca4-894e-db77e160355e"], ["6fa459ea"]), ("uuid:!3", ["886313e1-3b8a-5372-9b90-0c9aee199e5d"], ["6fa459ea-ee8a-3ca4-894e-db77e160355e"]), ("ulid", ["01HZX3KQ9W8V7T6S5R4P3N2M1K"], ["01HZX3KQ"]),
+    ("mac", ["3c:22:FB:90:01:7e", "3C22.fb90.017e"], ["3c22fb90017", "3c:22-fb:90:01:7e"]), ("hex_color", ["#0a7E4c", "#09c", "09C"], ["#0a7E"]), ("timezone", ["Asia/Tokyo", "Europe/Lisbon"], ["Sea/Bottom"]),
+    ("path", ["charts/2031/north.map"], [" "]), ("path:absolute", ["/srv/charts/north.map", "D:\\charts"], ["charts/2031"]), ("path:relative", ["charts/2031"], ["/srv/charts"]),
+    ("regex:/^[a-f]{2}:\\d{3}$/", ["be:507"], ["zz:507"]), ("required|regex:/^(ebb|flow)$/", ["flow"], ["slack"]), ("not_regex:/^(rock|shoal)$/i", ["harbour"], ["Shoal"]),
+    ("in:port,starboard", ["port"], ["astern"]), ("in:3,4", [], ["3"]), ("not_in:sunk,lost", ["afloat"], ["lost"]), ("accepted", ["yes", "on", "1", "true"], ["maybe"]), ("declined", ["off"], ["yes"]),
+    ("boolean", ["0", "1"], ["no"]), ("safe_filename", ["north map.png"], ["../../north.map", ".", "n\x00m"]), ("upload_id", ["tide-2031_07"], ["tide/2031"]), ("required", ["-", "00"], ["", " \t ", None]),
 ]
 
 
@@ -49,20 +49,20 @@ def test_golden_pairs(spark, rules, good, bad):
 
 
 SANITIZED = [
-    ("string", "  <b>text</b>  ", "text"), ("integer", "123.45", 123), ("float", "123.45", 123.45), ("boolean", "yes", True), ("boolean", "off", False), ("email", " TEST@example.com  ", "TEST@example.com"),
-    ("camelCase", "hello world", "helloWorld"), ("pascalCase", "hello world", "HelloWorld"), ("titleCase", "hello world", "Hello World"), ("snakeCase", "Hello World", "hello_world"),
-    ("kebabCase", "Hello World", "hello-world"), ("sentenceCase", "hello world. new sentence.", "Hello world. new sentence."), ("slug", "Hello World!", "hello-world"), ("slug", "Crème Brûlée", "creme-brulee"),
-    ("truncate:10", "Long text here", "Long text ..."), ("truncateWords:3", "Hello world, this is a test.", "Hello world, this..."), ("normalizeWhitespace", "hello \n world \t test", "hello world test"),
-    ("removeLineBreaks", "hello\r\nworld", "hello world"), ("phone", "+1 (555) 123-4567", "+15551234567"), ("currency", "$1,234.56", 1234.56), ("currency", "-$500.75", -500.75),
-    ("currency:EUR", "1.234,56€", 1234.56), ("currency:EUR", "-500,75", -500.75), ("filename", "../../../etc/passwd", "passwd"), ("domain", "https://www.example.com/path", "www.example.com"),
-    ("htmlEncode", "<script>xss</script>", "&lt;script&gt;xss&lt;/script&gt;"), ("htmlDecode", "&lt;p&gt;Test&lt;/p&gt;", "<p>Test</p>"), ("alpha", "Hello World! 123_-.", "HelloWorld"),
-    ("alphanumeric", "Hello World! 123_-.", "HelloWorld123"), ("alphaDash", "Hello World! 123_-.", "HelloWorld123_-"), ("alphanumericSpace", "Hello World! 123_-.", "Hello World 123"),
-    ("numeric", "abc123def456", "123456"), ("base64Encode", "Hello World", "SGVsbG8gV29ybGQ="), ("base64Decode", "SGVsbG8gV29ybGQ=", "Hello World"), ("base64Decode", "***", ""),
-    ("string|lowercase", "  <b>HELLO</b>  ", "hello"), ("escapeLike", "50% off! _wildcard_", "50\\% off! \\_wildcard\\_"), ("removeSqlPatterns", "SELECT * FROM users; -- comment", "* FROM users;"),
-    ("removeXss", '<script>alert(1)</script><p onclick="danger">hi</p>', "<p>hi</p>"), ("stripTags:<b><i>", "<b>Hello</b> <p>World</p> <i>Test</i>", "<b>Hello</b> World <i>Test</i>"),
-    ("stripUnsafeTags", "<script>xss</script><p>safe</p><strong>bold</strong>", "<p>safe</p><strong>bold</strong>"), ("stripWhitespace", "Hello \n World!", "HelloWorld!"),
-    ("url", "https://example.com/ test path", "https://example.com/testpath"), ("formatCurrency", "1234.56", "$1,234.56"), ("formatCurrency:EUR", "1234.56", "€1.234,56"), ("jsonEncode", 'a"é', '"a\\"é"'),
-    ("trim", "\t x\0\x0b", "x"), ("unknown", "as is", "as is"), ("lowercase", None, ""), ("uppercase", "é", "É"),
+    ("string", "  <i>kelp</i>  ", "kelp"), ("integer", "88.90", 88), ("float", "88.90", 88.9), ("boolean", "on", True), ("boolean", "no", False), ("email", " KEEPER@light.example  ", "KEEPER@light.example"),
+    ("camelCase", "rising salt tide", "risingSaltTide"), ("pascalCase", "rising tide", "RisingTide"), ("titleCase", "rising tide", "Rising Tide"), ("snakeCase", "Rising Tide", "rising_tide"),
+    ("kebabCase", "Rising Tide", "rising-tide"), ("sentenceCase", "low water. then high.", "Low water. then high."), ("slug", "Low Water, Again?", "low-water-again"), ("slug", "Žofín Über Öresund", "zofin-uber-oresund"),
+    ("truncate:9", "Harbour master", "Harbour m..."), ("truncateWords:2", "Harbour master, on duty.", "Harbour master,..."), ("normalizeWhitespace", "salt \n and \t sand", "salt and sand"),
+    ("removeLineBreaks", "salt\r\nsand", "salt sand"), ("phone", "+44 (0)20 7946-0018", "+4402079460018"), ("currency", "$7,008.09", 7008.09), ("currency", "-$16.20", -16.2),
+    ("currency:EUR", "7.008,09€", 7008.09), ("currency:EUR", "-16,20", -16.2), ("filename", "../../srv/charts/north.map", "north.map"), ("domain", "https://charts.Light.example/2031", "charts.light.example"),
+    ("htmlEncode", "<em>\"salt\"</em>", "&lt;em&gt;&quot;salt&quot;&lt;/em&gt;"), ("htmlDecode", "&lt;em&gt;salt&lt;/em&gt;", "<em>salt</em>"), ("alpha", "Buoy 9, bell_4-b.", "Buoybellb"),
+    ("alphanumeric", "Buoy 9, bell_4-b.", "Buoy9bell4b"), ("alphaDash", "Buoy 9, bell_4-b.", "Buoy9bell_4-b"), ("alphanumericSpace", "Buoy 9, bell_4-b.", "Buoy 9 bell4b"),
+    ("numeric", "b9uoy40", "940"), ("base64Encode", "ebb & flow", "ZWJiICYgZmxvdw=="), ("base64Decode", "ZWJiICYgZmxvdw==", "ebb & flow"), ("base64Decode", "!?!", ""),
+    ("string|lowercase", "  <i>KELP</i>  ", "kelp"), ("escapeLike", "7% of salt_water", "7\\% of salt\\_water"), ("removeSqlPatterns", "DELETE kelp; -- now", "kelp;"),
+    ("removeXss", '<script>sink()</script><em onmouseover="sink()">ok</em>', "<em>ok</em>"), ("stripTags:<em><u>", "<em>Salt</em> <div>Sand</div> <u>Silt</u>", "<em>Salt</em> Sand <u>Silt</u>"),
+    ("stripUnsafeTags", "<script>sink</script><p>calm</p><em>sea</em>", "<p>calm</p><em>sea</em>"), ("stripWhitespace", "salt \n sand.", "saltsand."),
+    ("url", "https://light.example/ north map", "https://light.example/northmap"), ("formatCurrency", "7008.09", "$7,008.09"), ("formatCurrency:EUR", "7008.09", "€7.008,09"), ("jsonEncode", 'b"ø', '"b\\"ø"'),
+    ("trim", "\n y\0\x0b", "y"), ("unheard", "stays", "stays"), ("lowercase", None, ""), ("uppercase", "ø", "Ø"), ("stripTags", "3 < 4 and <", "3 < 4 and <"), ("stripTags", "no markup here", "no markup here"),
 ]
 
 
@@ -182,6 +182,58 @@ def test_violations_are_pushed_down(spark, tmp_path):
     assert "PushedFilters: [Or" in out._jdf.queryExecution().executedPlan().toString() and out.count() == 19
 
 
+def test_an_anchored_expression_is_pushed_down_too(spark, tmp_path):
+    from gatehouse.plans.engine import beginnings
+
+    assert beginnings("/^[1-3]-/") == ["1-", "2-", "3-"] and beginnings("/^ab/") == ["ab"] and beginnings("/^[ac]x/") == ["ax", "cx"]
+    assert all(beginnings(x) is None for x in ("/ab/", "/^a$/", "/^a*/", "/^a/i", "/^[^a]/", "/^.b/", "/^(a|b)/", "/^[a-z][a-z]/", r"/^\\d/"))
+    spark.sql("SELECT id, concat(id % 7, '-', id) AS code FROM range(70)").write.parquet(str(tmp_path / "t"))
+    out = g.Validator({"code": "regex:/^[1-5]-/"}).violations(spark.read.parquet(str(tmp_path / "t")), ["id"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "StringStartsWith(code,1-)" in plan and out.count() == 20
+
+
+def test_callables_of_values(spark):
+    import functools
+    import operator
+
+    class Longer:
+        def __call__(self, value, name):
+            return len(value) > len(name)
+
+    df = spark.createDataFrame([("tide",), ("t",)], "name string")
+    for fn in (lambda v: len(v) > 2, functools.partial(lambda n, v: len(v) > n, 2), operator.methodcaller("startswith", "ti"), lambda v: v in {"tide"}):
+        assert [r.passes() for r in g.Validator({"name": [make_rule("callback", (fn,))]}).validate(df).records()] == [True, False]
+        assert [r.passes() for r in g.Validator({"name": [make_rule("current_password", (fn,))]}).validate(df).records()] == [True, False]
+    assert [r.passes() for r in g.Validator({"name": [make_rule("callback", (Longer(),))]}).validate(df).records()] == [False, False]
+    assert [r.passes() for r in g.Validator({"name": [make_rule("callback", (lambda v, c: F.length(v) >= len(c.name),))]}).validate(df).records()] == [True, False]
+
+
+def test_locale_packs_as_a_whole(spark):
+    def packs(v):
+        return v.set_locale_packs({"en": {"required": "Fill in :field."}, "de": {"required": "Bitte :field."}})
+
+    assert result(spark, {"a": "required"}, (None,), "a string", setup=packs).errors == {"a": ["Fill in A."]}
+    replaced = lambda v: packs(v).add_locale_pack("de", {"email": "Keine Adresse."}).set_locale("de")
+    assert result(spark, {"a": "required"}, (None,), "a string", setup=replaced).errors == {"a": ["Fill in A."]}
+    with pytest.raises(g.InvalidRule):
+        g.Validator({"a": "required"}).set_nested_flatten_mode("some")
+    assert g.Validator({"a": "required"}).set_nested_flatten_mode("all")
+
+
+def test_casts_in_a_row(spark):
+    v = g.Validator({"a": {"rules": "required", "cast": [lambda c: F.length(c), "string"]}, "b": {"rules": "required", "cast": "array"}})
+    rows = v.validate(spark.createDataFrame([("tide", '{"x": "ebb", "y": "flow"}'), ("t", "ebb")], "a string, b string")).typed().collect()
+    assert [(r.a, r.b) for r in rows] == [("4", ["ebb", "flow"]), ("1", ["ebb"])]
+
+
+def test_results_give_values_as_attributes(spark):
+    r = result(spark, {"depth": "required", "name": "required"}, (7, None), "depth int, name string")
+    assert r.depth == 7 and r.name is None and "depth" in r and "name" not in r
+    r.name = "buoy"
+    assert r.get("name") == "buoy" and "name" in r
+
+
 def test_schema_errors():
     for bad in ("nosuchrule", "starts_with:1", "ip:4", "before:2024x", "min", "uuid:x", "regex:abc"):
         with pytest.raises(g.InvalidRule):
