@@ -153,7 +153,11 @@ class ForcedBoundaryBpe:
 def gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The concatenation of ``flat[start : start + count]``."""
     ends = np.cumsum(counts)
-    return flat[np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((starts - ends + counts).astype(kind), counts)
+    at += np.arange(total, dtype=kind)
+    return flat[at]
 
 
 @lru_cache(maxsize=4)

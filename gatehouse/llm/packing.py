@@ -37,8 +37,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 WORD_BPE = vocabulary("word_bpe_49k.json")
 CAPACITY = 2048
 SEPARATOR = 0
-#: Words remembered per worker (a full memory is emptied, which costs time and never results), and bytes of text encoded at once.
-CACHE_WORDS, SLICE_BYTES = 1_000_000, 8 << 20
+#: Words of a generation, of which a worker remembers two (what is forgotten costs time and never results), and bytes of text encoded at once.
+CACHE_WORDS, SLICE_BYTES, WORDS_AT_ONCE = 400_000, 4 << 20, 16_384
 
 _SPACED = np.where(np.isin(np.arange(256), [9, 10, 13]), 32, np.arange(256)).astype(np.uint8)
 #: Letters whose lower case and normal form depend on nothing around them, and pieces as the file's pre-tokeniser cuts them.
@@ -67,40 +67,61 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
+        """The young generation becomes the old one. Words that come again move back."""
+        self._old = getattr(self, "_index", {}), getattr(self, "_flat", None), getattr(self, "_start", None), getattr(self, "_count", None)
         self._index: dict[str, int] = {}
         self._flat, self._used = np.zeros(1 << 16, dtype="<u4"), 0
-        self._start, self._count = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+        self._start, self._count = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=np.int32)
+
+    def _recall(self, words: list[str]) -> list[str]:
+        """Take words of the old generation into the young one; those that are in neither."""
+        index, flat, start, count = self._old
+        codes = list(map(index.get, words))
+        found = np.array([c for c in codes if c is not None], dtype=np.int64)
+        if len(found):
+            self._add([w for w, c in zip(words, codes) if c is not None], gather(flat, start[found], count[found]), count[found])
+        return [w for w, c in zip(words, codes) if c is None]
+
+    def _add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        at, n = self._used, len(self._index)
+        while len(self._flat) < at + len(ids):
+            self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
+        while len(self._start) < n + len(words):
+            self._start, self._count = (np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._count))
+        self._flat[at : at + len(ids)] = ids
+        self._count[n : n + len(words)] = counts
+        self._start[n : n + len(words)] = at + np.cumsum(counts) - counts
+        self._used = at + len(ids)
+        self._index.update(zip(words, range(n, n + len(words))))
 
     def _learn(self, new: list[str]) -> None:
         """Encode words and add them to the table."""
-        plain, other, pieces, owner = [], [], [], []
+        other, pieces, owner = [], [], []
+        plain = _PLAIN.fullmatch if self._bare is not None else lambda _: False
         for k, word in enumerate(new):
-            if self._bare is None or not _PLAIN.fullmatch(word) or any(x in word for x in self._specials):
+            if not plain(word) or "<" in word and any(x in word for x in self._specials):
                 other.append(k)
                 continue
-            plain.append(k)
-            parts = (word,) if word.isalpha() else _PIECES.findall(word)
-            pieces += [x.lower() if x.isascii() else x.lower().encode().decode("latin-1").translate(_BYTE_NAMES) for x in parts]
+            if not word.isascii():
+                word = word.lower()
+                parts = (word,) if word.isalpha() else _PIECES.findall(word)
+                pieces += [x.encode().decode("latin-1").translate(_BYTE_NAMES) for x in parts]
+            elif word.isalpha():
+                pieces.append(word.lower())
+                owner.append(k)
+                continue
+            else:
+                parts = _PIECES.findall(word.lower())
+                pieces += parts
             owner += [k] * len(parts)
-        counts = np.zeros(len(new), dtype=np.int64)
-        ids, whose = [], []
+        ids, whose = [np.zeros(0, "<u4")], [np.zeros(0, np.int32)]
         for tokenizer, words, of in ((self._bare, pieces, owner), (self.tokenizer, [new[k] for k in other], other)):
-            if words:
-                done = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+            for at in range(0, len(words), WORDS_AT_ONCE):  # the library holds much for each word that it encodes
+                done = tokenizer.encode(words[at : at + WORDS_AT_ONCE], is_pretokenized=True, add_special_tokens=False)
                 ids.append(np.array(done.ids, dtype="<u4"))
-                whose.append(np.array(of, dtype=np.int64)[np.array(done.word_ids, dtype=np.int64)])
-        ids, whose = np.concatenate([*ids, np.zeros(0, "<u4")]), np.concatenate([*whose, np.zeros(0, np.int64)])
-        np.add.at(counts, whose, 1)
-        at, n = self._used, len(self._index)
-        while len(self._flat) < at + len(ids):
-            self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
-        while len(self._start) < n + len(new):
-            self._start, self._count = (np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._count))
-        self._flat[at : at + len(ids)] = ids[np.argsort(whose, kind="stable")]
-        self._count[n : n + len(new)] = counts
-        self._start[n : n + len(new)] = at + np.cumsum(counts) - counts
-        self._used = at + len(ids)
-        self._index.update(zip(new, range(n, n + len(new))))
+                whose.append(np.array(of[at : at + WORDS_AT_ONCE], dtype=np.int32)[np.array(done.word_ids, dtype=np.int32)])
+        whose = np.concatenate(whose)
+        self._add(new, np.concatenate(ids)[np.argsort(whose, kind="stable")], np.bincount(whose, minlength=len(new)))
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's end. No text may be null."""
@@ -113,9 +134,9 @@ class WordEncoder:
             if len(self._index) + len(new) > CACHE_WORDS:
                 self._forget()
                 codes, new = [None] * len(held), held
-            self._learn(new)
+            self._learn(self._recall(new))
             codes = [self._index[w] if c is None else c for w, c in zip(held, codes)]
-        code = np.array(codes, dtype=np.int64)[numbered.indices.to_numpy(zero_copy_only=False)]
+        code = np.array(codes, dtype=np.int32)[numbered.indices.to_numpy(zero_copy_only=False)]
         counts = self._count[code]
         offsets = words.offsets.to_numpy(zero_copy_only=False)
         return gather(self._flat, self._start[code], counts), np.concatenate([[0], np.cumsum(counts)])[offsets[1:] - offsets[0]]
