@@ -112,7 +112,8 @@ def format_conversations(conversations: DataFrame, path: str = CHAT_BPE) -> Data
     """Rendered conversations with token ids, offsets and loss mask: a row for each conversation.
 
     A conversation longer than ``PIECE_CHARS`` gives several rows, numbered by ``piece`` and adjacent in the partition, so
-    that no worker ever holds more than that of one conversation. Turns are ordered by ``turn`` (null first), then
+    that no worker ever holds more than that of one conversation. A conversation's turns are needed in order, so it is one task,
+    however long, and so are all rows with a null id. Turns are ordered by ``turn`` (null first), then
     role, then text. Null texts and roles count as empty; rows with a null id form one conversation; identical
     rows are turns each. An empty table gives no rows; other columns are ignored.
     """

@@ -686,7 +686,7 @@ def jaccard_components(documents: DataFrame, rule: Rule = Rule(), scratch: Scrat
     members = _families(held, rule, scratch)
     scratch.drop(classes, prefixes, held)
     extents = scratch.keep(_extents(members, "family").where("n > 1"))
-    small = join_spread(members, extents.where("blocks = 1").select("family", "n"), ["family"], "n", total).select("rep", F.col("family").alias("cell")).distinct()
+    small = scratch.keep(join_spread(members, extents.where("blocks = 1").select("family", "n"), ["family"], "n", total).select("rep", F.col("family").alias("cell")).distinct())
     sets = _sets(_only(documents, small, "rep", "inner"), rule, ("cell",))
     links = scratch.keep(_compare(sets.withColumn("side", F.lit(0)).withColumn("component", F.col("rep")), rule, shared))
     large = join_spread(members, extents.where("blocks > 1").select("family", "n"), ["family"], "n", total).select("rep", "size", "family")
