@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import casts, sanitizers
-from ..functions.typesys import InvalidRule, Value, any_of, empty
+from ..functions.typesys import WS, InvalidRule, Value, any_of, empty
 from ..operators.lookup import Lookup, flag
 from ..operators.registry import Context, Rule, missing
 from ..results import ValidatedFrame
@@ -470,8 +470,8 @@ class Validator:
                 name, params = g.rule.name, g.rule.params
                 if name in ("nullable", "bail") or name == "numeric" and v.kind in ("INT", "FLT") or name == "integer" and v.kind == "INT" or name == "string" and v.kind == "STR":
                     continue
-                if name == "required" and v.kind != "STR":
-                    out.append(c.isNull())
+                if name == "required":  # a text fails if it is blank, so what may be blank must pass the filter
+                    out += [c.isNull(), *((c == "", *(c.startswith(x) for x in WS)) if v.kind == "STR" else ())]
                 elif name == "min" and v.kind in ("INT", "FLT"):
                     out.append(c < F.lit(params[0]))
                 elif name == "max" and v.kind in ("INT", "FLT"):

@@ -193,6 +193,17 @@ def test_an_anchored_expression_is_pushed_down_too(spark, tmp_path):
     assert "PushedFilters: [" in plan and "StringStartsWith(code,1-)" in plan and out.count() == 20
 
 
+def test_the_flagship_is_pushed_down(spark, tmp_path):
+    from gatehouse import catalog
+
+    rows = [(1, "O", 2000.0, "1-x"), (2, "", 2000.0, "2-x"), (3, "\t ", 2000.0, "2-x"), (4, None, 2000.0, "9-x"), (5, "P", 1.0, None), (6, "F", None, " "), (7, "F", 5e6, "5-")]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    out = catalog.orders_violations(spark, str(tmp_path))
+    assert "PushedFilters: [Or" in out._jdf.queryExecution().executedPlan().toString()
+    whole = catalog._orders_schema().validate(spark.read.parquet(f"{tmp_path}/orders.parquet")).failures(["o_orderkey"]).collect()
+    assert sorted((r.o_orderkey, r.field, r.rule) for r in out.collect()) == sorted((r.o_orderkey, r.field, r.rule) for r in whole)
+
+
 def test_callables_of_values(spark):
     import functools
     import operator
