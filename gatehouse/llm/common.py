@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import public_tokenizers
 import pyarrow as pa
@@ -38,6 +40,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def give_back_memory() -> None:
+    """Return what a worker has freed to the system: it is used again for other work, beside an executor that needs room too."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
@@ -59,6 +75,7 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[dict], list], rows_per_ba
                 columns = fn({n: part.column(k).to_pylist() for k, n in enumerate(part.schema.names)})
                 arrays = [pa.array(c, type=target.field(n).type) for n, c in zip(names, columns, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
+            give_back_memory()
 
     return df.mapInArrow(run, schema)
 
@@ -92,7 +109,8 @@ class Scratch:
         self._paths: dict[int, tuple[DataFrame, str]] = {}
         bound_batches(spark)
         path, fs = self._hadoop(self.root)
-        fs.deleteOnExit(path)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)  # which takes only what exists
 
     def _hadoop(self, name: str):
         context = self.spark.sparkContext

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh128_digest
 
-from .common import HOT_SHARE, Scratch, join_spread, shuffle_partitions
+from .common import HOT_SHARE, Scratch, give_back_memory, join_spread, shuffle_partitions
 
 #: Multipliers that break ties in each global order; the first order generates, the others filter.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
@@ -224,6 +224,7 @@ def _summaries(documents: DataFrame, rule: Rule, bits: int, part_bits: int) -> D
             yield extra("block", used, [blocks[k].tobytes() for k in used])
         if parts.size:
             yield extra("part", *parts.packed())
+        give_back_memory()
 
     source = documents.select("rep", F.coalesce("text", F.lit("")).alias("text"))
     return source.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, block int, part int, packed binary")
@@ -258,6 +259,7 @@ def _prefixes(documents: DataFrame, rule: Rule, shared) -> DataFrame:
                 marks = [np.minimum(np.bincount((s >> np.uint64(5)).astype(np.int64) % MARKS, minlength=MARKS), 255).astype(np.uint8).tobytes() for s in sets]
                 columns = [batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int32()), pa.array(marks, pa.binary()), pa.array(prefixes, type=schema.field(3).type)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(digests[:, 0]), pa.array(digests[:, 1])], schema=schema)
+            give_back_memory()
 
     return documents.select("rep", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "rep long, size int, marks binary, prefix array<long>, d1 long, d2 long")
 
@@ -609,6 +611,7 @@ def _compare(rows: DataFrame, rule: Rule, shared) -> DataFrame:
         done()
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+        give_back_memory()
 
     dealt = rows.select("cell", "side", "rep", "component", "tokens").repartition(shuffle_partitions(rows.sparkSession), "cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(run, "a long, b long")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import byte_alphabet, gather
-from .common import Scratch, shuffle_partitions, text_or_empty, vocabulary
+from .common import Scratch, give_back_memory, shuffle_partitions, text_or_empty, vocabulary
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 WORD_BPE = vocabulary("word_bpe_49k.json")
@@ -204,6 +204,7 @@ def token_pieces(documents: DataFrame, path: str = WORD_BPE, capacity: int = CAP
                 to = max(at + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, side="right")))
                 yield cut(batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at))
                 at = to
+                give_back_memory()
 
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
