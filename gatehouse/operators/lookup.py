@@ -56,14 +56,19 @@ class Lookup:
 def flag(df: DataFrame, value: str, lookup: Lookup, tables: dict[str, DataFrame], name: str) -> DataFrame:
     """Add the boolean column ``name``: whether the lookup holds the column ``value``. Null matches null.
 
-    A left join on distinct keys keeps every row once; Spark chooses a broadcast by the keys' own measured size.
+    A left join on distinct keys keeps every row once; Spark chooses a broadcast by the keys' own measured size. Rows with a null,
+    which may be very many, are salted so that a shuffle spreads them; whether the lookup holds a null is asked once.
     """
     keys = lookup.keys(tables)
     if family(keys.schema[0].dataType) != family(df.schema[value].dataType):
         return df.withColumn(name, F.lit(False))
-    keys = keys.select(F.col("__key").alias(f"{name}__key"), F.lit(True).alias(name))
-    joined = df.join(keys, df[value].eqNullSafe(keys[f"{name}__key"]), "left").drop(f"{name}__key")
-    return joined.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+    key, own, theirs = f"{name}__key", f"{name}__salt", f"{name}__zero"
+    holds_null = keys.agg(F.count_if(F.col("__key").isNull()) > 0).scalar()
+    side = keys.where("__key IS NOT NULL").select(F.col("__key").alias(key), F.lit(-1).alias(theirs), F.lit(True).alias(name))
+    salted = df.withColumn(own, F.when(F.col(value).isNull(), F.spark_partition_id()).otherwise(F.lit(-1)))
+    joined = salted.join(side, (salted[value] == side[key]) & (salted[own] == side[theirs]), "left")
+    found = F.when(F.col(value).isNull(), holds_null).otherwise(F.coalesce(F.col(name), F.lit(False)))
+    return joined.withColumn(name, found).drop(key, own, theirs)
 
 
 def composite_exists(df: DataFrame, table: DataFrame, columns: dict[str, str], ignore: tuple[str, object] | None = None) -> DataFrame:

@@ -171,6 +171,22 @@ def test_lookup_plans_join_without_exploding(spark):
     assert frame.df.count() == 9 and frame.df.where("_valid").count() == 3
 
 
+def test_null_keys(spark):
+    from gatehouse.operators.lookup import Lookup, flag
+
+    rows = spark.createDataFrame([(k, None if k % 3 else k) for k in range(30)], "n int, v int")
+    for held, nulls in (([0, 6, None], True), ([0, 6], False), ([], False)):
+        tables = {"t": spark.createDataFrame([(x,) for x in held], "k int")}
+        got = {r.n: r.f for r in flag(rows, "v", Lookup("t", "k"), tables, "f").collect()}
+        assert got == {k: (nulls if k % 3 else k in held) for k in range(30)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = flag(rows, "v", Lookup("t", "k"), {"t": spark.range(9).withColumnRenamed("id", "k").selectExpr("cast(k AS INT) AS k")}, "f")
+        assert out.where("f").count() == 3 and out.columns == ["n", "v", "f"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_inline_rules_need_no_exchange(spark):
     plan = g.Validator({"id": "required|integer|min:3|in:4,5"}).validate(spark.range(5)).df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
