@@ -364,9 +364,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, roots: bool = False
             return scratch.keep(done.unionByName(done.select(F.col("root").alias("node"), "root").distinct()) if roots else done)
         best = F.coalesce("above", "least")
         nodes = marked.select(F.col("node").alias("a"), best.alias("b"))
-        roots = marked.where(F.col("root") != best).select(F.col("root").alias("a"), best.alias("b"))
+        others = marked.where(F.col("root") != best).select(F.col("root").alias("a"), best.alias("b"))
         middle = marked.where(F.col("above").isNotNull() & (F.col("least") != F.col("above"))).select(F.col("least").alias("a"), F.col("above").alias("b"))
-        again = scratch.keep(nodes.unionByName(roots).unionByName(middle).distinct())
+        again = scratch.keep(nodes.unionByName(others).unionByName(middle).distinct())
         links, tasks = dealt(again)
         stars = scratch.keep(_local_stars(links, roots and tasks <= 1))
         scratch.drop(marked, again)
